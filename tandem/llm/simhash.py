@@ -192,7 +192,7 @@ def _link_batches(batches):
 
 def _pairs_of_bands(bits: list[int]) -> list[int]:
     """Masks of the fifteen pairs of six bands of the given bits; what differs in four bits agrees on one of them."""
-    bands = [sum(1 << i for i in part) for part in np.array_split(bits, 6)]
+    bands = [sum(1 << i for i in part.tolist()) for part in np.array_split(bits, 6)]
     return [a | b for a, b in combinations(bands, 2)]
 
 
