@@ -6,6 +6,7 @@ from importlib import import_module
 
 _MODULES = {
     "op1_simhash": "simhash",
+    "op2_toxicity": "toxicity",
     "op4_mixing": "mixing",
     "op6_packing": "packing",
     "op10_line_dedup": "linededup",
