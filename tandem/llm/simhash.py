@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import lookup, staged, table
+from ._common import lookup, staged, table, text_of
 from .graph import components, min_labels
 
 SEED, SHINGLE, DISTANCE = 42, 4, 4
@@ -81,12 +81,13 @@ def _fingerprint_batches(batches):
         for k in range(0, b.num_rows, 512):
             part = b.slice(k, 512)
             fp = simhash(part.column("text").to_pylist()).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("version"), pa.array(fp)], names=["doc_id", "version", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long): one row per row of docs, whatever its other columns."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    """(doc_id, version, fp long): one row per row of docs, whatever its other columns; version is a hash of the text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("version"), "text")
+    return rows.mapInArrow(_fingerprint_batches, "doc_id long, version long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -229,7 +230,7 @@ def links(points: DataFrame, split_over: int = SPLIT_OVER) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs (doc_id, text); other columns are ignored.
+    """(doc_id, version, fp, component_id) for every row of docs (doc_id, text); other columns are ignored.
 
     Null and empty texts, and texts of white space, have fingerprint zero and link like any other. component_id is the
     smallest doc_id reachable through links. A row without doc_id gets its fingerprint's component, but joins none
@@ -239,7 +240,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     points = staged(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("ident")), "simhash-points")
     root = components(links(points), "simhash-components")
     joined = points.join(root, points["ident"] == root["node"], "left").select("fp", F.coalesce("root", "ident").alias("component_id"))
-    return fps.join(joined, "fp", "left").select("doc_id", "fp", "component_id")
+    return fps.join(joined, "fp", "left").select("doc_id", "version", "fp", "component_id")
+
+
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """One row of docs for each group of near duplicates: the one whose doc_id is the group's component_id.
+
+    A row without id goes if its group has one with an id, and stays otherwise. Of rows repeated in full, one stays.
+    """
+    found = staged(near_duplicates(docs), "simhash-found")
+    key = [F.col("doc_id").eqNullSafe(F.col("_sh_id")), F.xxhash64(text_of()) == F.col("_sh_version")]
+    named = [F.col("doc_id").alias("_sh_id"), F.col("version").alias("_sh_version")]
+    gone = found.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(*named).distinct()
+    kept = docs.join(lookup(gone, found.where("doc_id <> component_id or (doc_id is null and component_id is not null)").count()), key, "left_anti")
+    twins = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_sh_id"))
+    if twins.isEmpty():
+        return kept
+    on = F.col("doc_id") == F.col("_sh_id")
+    return kept.join(twins, on, "left_anti").unionByName(kept.join(twins, on, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
