@@ -7,6 +7,7 @@ from importlib import import_module
 _MODULES = {
     "op1_simhash": "simhash",
     "op2_toxicity": "toxicity",
+    "op3_secrets": "secrets",
     "op4_mixing": "mixing",
     "op6_packing": "packing",
     "op10_line_dedup": "linededup",
