@@ -9,6 +9,7 @@ _MODULES = {
     "op2_toxicity": "toxicity",
     "op3_secrets": "secrets",
     "op4_mixing": "mixing",
+    "op5_ann": "ann",
     "op6_packing": "packing",
     "op10_line_dedup": "linededup",
 }
