@@ -12,6 +12,7 @@ _MODULES = {
     "op5_ann": "ann",
     "op6_packing": "packing",
     "op8_matroska": "matroska",
+    "op9_chat": "chat",
     "op10_line_dedup": "linededup",
 }
 
