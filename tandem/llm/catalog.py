@@ -11,6 +11,7 @@ _MODULES = {
     "op4_mixing": "mixing",
     "op5_ann": "ann",
     "op6_packing": "packing",
+    "op7_pii": "pii",
     "op8_matroska": "matroska",
     "op9_chat": "chat",
     "op10_line_dedup": "linededup",
