@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The WGS84 ellipsoid.
 _A, _F = 6378137.0, 1 / 298.257223563
@@ -58,12 +59,12 @@ def geodesic_km_array(lon1, lat1, lon2, lat2) -> np.ndarray:
     return _B * big * (sigma - d) / 1000
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def geodesic_km(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Series) -> pd.Series:
     return pd.Series(geodesic_km_array(lon1, lat1, lon2, lat2))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_upper_tail(z: pd.Series) -> pd.Series:
     """P(Z >= z)."""
     return z.map(lambda x: None if pd.isna(x) else 0.5 * math.erfc(x / math.sqrt(2)))
@@ -79,7 +80,7 @@ def kendall_exact_p(n: int, discordant: int) -> float:
     return float(min(1.0, 2 * counts[: c + 1].sum()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def kendall_p(n: pd.Series, score: pd.Series, ties_x: pd.Series, ties_y: pd.Series, x1: pd.Series, x2: pd.Series, y1: pd.Series, y2: pd.Series) -> pd.Series:
     """Two-sided p of Kendall's tau: exact without ties up to 33 values, else the tie-corrected normal approximation.
 
