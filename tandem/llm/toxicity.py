@@ -8,6 +8,7 @@ weights, so blame settles on the sentences that tell toxic documents from others
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -72,32 +73,32 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     y = np.array(labels, int)
     if not (y == 1).any() or not (y == 0).any():
         return Model({})
-    bags = [[{f for w in set(_TOKEN.findall(s.lower())) for f in features(w)} for s in _SENTENCE.findall(t or "")] for t in texts]
-    count: dict[str, list[int]] = {}
-    for bag, label in zip(bags, labels):
-        for f in set().union(*bag):
-            count.setdefault(f, [0, 0])[label] += 1
+    count: Counter[str] = Counter()  # toxic documents in the high half, others in the low one
+    for text, label in zip(texts, labels):
+        words = set(_TOKEN.findall((text or "").lower()))
+        count.update(dict.fromkeys({f for w in words for f in features(w)}, 1 << 32 if label else 1))
     n0, n1 = int((y == 0).sum()), int((y == 1).sum())
-    common = [f for f, c in count.items() if sum(c) >= LEAST_DOCS]
-    c = np.array([count[f] for f in common], float).reshape(-1, 2)
+    common = [f for f, c in count.items() if (c & 0xFFFFFFFF) + (c >> 32) >= LEAST_DOCS]
+    c = np.array([(count[f] & 0xFFFFFFFF, count[f] >> 32) for f in common], float).reshape(-1, 2)
+    del count
     odds = np.log((c[:, 1] + 0.5) / (n1 + 1)) - np.log((c[:, 0] + 0.5) / (n0 + 1))
     z = odds / np.sqrt(1 / (c[:, 1] + 0.5) + 1 / (c[:, 0] + 0.5))
     best = sorted(np.argsort(-z, kind="stable")[:VOCABULARY].tolist(), key=lambda i: common[i])
     best = [i for i in best if z[i] > 2]
     number = {common[i]: k for k, i in enumerate(best)}
-    doc, inst, feat, rest = [], [], [], np.zeros(len(bags))
-    for d, bag in enumerate(bags):
-        for s in bag:
-            known = [number[f] for f in s if f in number]
+    doc, inst, feat, rest = [], [], [], np.zeros(len(texts))
+    for d, text in enumerate(texts):
+        for sentence in _SENTENCE.findall(text or ""):
+            known = {number[f] for w in _TOKEN.findall(sentence.lower()) for f in features(w) if f in number}
             if known:
                 inst += [len(doc)] * len(known)
-                feat += known
+                feat += sorted(known)
                 doc.append(d)
             else:
                 rest[d] += 1
     doc, inst, feat = np.array(doc, int), np.array(inst, int), np.array(feat, int)
     w = np.maximum(0, odds[best]) if best else np.zeros(0)
-    m, v, n = np.zeros_like(w), np.zeros_like(w), len(bags)
+    m, v, n = np.zeros_like(w), np.zeros_like(w), len(texts)
     for t in range(1, EPOCHS + 1):
         s = BACKGROUND + np.bincount(inst, w[feat], len(doc))
         p = 1 / (1 + np.exp(-s))
