@@ -95,7 +95,7 @@ def blocked_counts(act: DataFrame, k_days: int, other: DataFrame | None = None,
     day = F.datediff("day", F.to_date(F.lit("1970-01-01"))).alias("d")
     place = F.floor(F.col("node") / block).alias("blk")
     left_rows = act.select("node", day, "evt", place)
-    right_rows = right.select("node", day, "evt", place)
+    right_rows = right.select(F.col("node").alias("node"), day, F.col("evt").alias("evt"), place)  # own column ids: both sides may be one table
     upper = F.col("blk") <= F.col("bb") if other is None else F.lit(True)
     lower = F.col("ba") <= F.col("blk") if other is None else F.lit(True)
     # The lists of blocks have a row for each `block` nodes.
@@ -146,20 +146,31 @@ def test_count(hot: DataFrame, cold: DataFrame | None = None, mode: str = "union
     return both.agg((F.sum("h") * F.sum("c") - F.sum(F.col("h") * F.col("c"))).cast("bigint").alias("m"))
 
 
+def p_rank(edges_: DataFrame) -> DataFrame:
+    """edges with rank by (p, a, b) over the whole table, without sorting it in one task.
+
+    Logarithmic bins of p are ranked each by itself; the counts of smaller bins, at most some thousand rows, shift them.
+    """
+    binned = edges_.withColumn("_bin", F.floor(8 * F.ln(F.greatest("p", F.lit(1e-300)))))
+    counts = binned.groupBy("_bin").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifted = counts.select("_bin", before.alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_bin").orderBy("p", *PAIR))
+    return binned.withColumn("_own", own).join(F.broadcast(shifted), "_bin").withColumn("rank", (F.col("_before") + F.col("_own")).cast("bigint")).drop("_bin", "_before", "_own")
+
+
 def fdr_screen(edges_: DataFrame, m: DataFrame, q: float = 0.05, mode: str = "count") -> DataFrame:
     """Edges with rank, line = rank·q/m, cutoff and keep.
 
     "count" keeps as many of the smallest p as there are ranks at or below the line, wherever those are; "step_up" keeps
-    all up to the last such rank. Ranks are taken within one sorted order, so this is for edge tables after the screen.
+    all up to the last such rank. m and the sums over all edges are tables of one row.
     """
-    order = Window.orderBy("p", *PAIR)
-    everything = Window.partitionBy()
-    ranked = edges_.crossJoin(F.broadcast(m)).withColumn("rank", F.row_number().over(order).cast("bigint"))  # m has one row
+    ranked = p_rank(edges_).crossJoin(F.broadcast(m))
     ranked = ranked.withColumn("line", F.col("rank") * q / F.col("m")).withColumn("below", F.col("p") <= F.col("line"))
-    n = F.count_if("below").over(everything) if mode == "count" else F.max(F.when(F.col("below"), F.col("rank"))).over(everything)
-    ranked = ranked.withColumn("n_keep", F.coalesce(n, F.lit(0)))
-    cutoff = F.max(F.when(F.col("rank") <= F.col("n_keep"), F.col("p"))).over(everything)
-    return ranked.withColumn("cutoff", cutoff).withColumn("keep", F.coalesce(F.col("p") <= F.col("cutoff"), F.lit(False))).drop("n_keep")
+    n = F.count_if("below") if mode == "count" else F.max(F.when(F.col("below"), F.col("rank")))
+    kept = ranked.agg(F.coalesce(n, F.lit(0)).alias("n_keep"))
+    cutoff = ranked.crossJoin(F.broadcast(kept)).agg(F.max(F.when(F.col("rank") <= F.col("n_keep"), F.col("p"))).alias("cutoff"))
+    return ranked.crossJoin(F.broadcast(cutoff)).withColumn("keep", F.coalesce(F.col("p") <= F.col("cutoff"), F.lit(False)))
 
 
 def edge_summary(edges_: DataFrame, long_range_km: float = 2500.0, by: tuple[str, ...] = ()) -> DataFrame:

@@ -59,10 +59,13 @@ def doy_thresholds(days: DataFrame, config: EventConfig) -> DataFrame:
     return baseline_days(days, config).groupBy("node", "doy").agg(F.percentile(S.as_null(F.col("value")), config.percentile).alias("thr_raw"))
 
 
-def smoothed_thresholds(raw: DataFrame, rows: int = 15, digits: int = 6) -> DataFrame:
-    """raw with thr: a centred mean over rows (not days), shorter at the edges."""
+def smoothed_thresholds(raw: DataFrame, rows: int = 15, digits: int = 7) -> DataFrame:
+    """raw with thr: a centred mean over rows (not days), shorter at the edges.
+
+    Rounded, with a nudge off decimal ties, so that the order in which an engine sums can't move an event.
+    """
     around = Window.partitionBy("node").orderBy("doy").rowsBetween(-(rows // 2), rows // 2)
-    return raw.withColumn("thr", F.round(F.avg("thr_raw").over(around), digits))
+    return raw.withColumn("thr", F.round(F.avg("thr_raw").over(around) + 10.0 ** -(digits + 2), digits))
 
 
 def event_flags(days: DataFrame, thresholds: DataFrame, kind: str = "hot") -> DataFrame:

@@ -74,15 +74,16 @@ def sweep(a: list[tuple], b: list[tuple], k_days: int) -> tuple[set[int], set[in
 
 def locked_by_sweep(runs: DataFrame, pairs: DataFrame, k_days: int, cold: DataFrame | None = None) -> DataFrame:
     """(run_uid) of runs that the sweep locks, pair by pair. A task holds the runs of one pair of nodes."""
+    one_sided = cold is not None
 
     def one(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         la, lb = sweep(*([(u, s, e) for u, s, e in f.sort_values(["s", "uid"])[["uid", "s", "e"]].itertuples(index=False)] for f in (left, right)), k_days)
-        return pd.DataFrame({"run_uid": np.array(sorted(la if cold is not None else la | lb), "int64")})
+        return pd.DataFrame({"run_uid": np.array(sorted(la if one_sided else la | lb), "int64")})
 
     day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
     rows = lambda r, node: r.select(F.col("node").alias(node), F.col("run_uid").alias("uid"), day("start").alias("s"), day("end").alias("e"))
     left = rows(runs, "a").join(pairs, "a")
-    right = rows(runs if cold is None else cold, "b").join(pairs, "b")
+    right = rows(runs if cold is None else cold, "b").join(pairs.select(F.col("a").alias("a"), F.col("b").alias("b")), "b")
     return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(one, "run_uid long").distinct()
 
 

@@ -109,7 +109,7 @@ def bootstrap_mean(deltas: DataFrame, n_boot: int, seed: int, order: str, value:
         low, high = np.percentile(means, [2.5, 97.5])
         return pd.DataFrame({"low": [low], "high": [high]})
 
-    return deltas.select(order, value).groupBy(F.lit(1)).applyInPandas(one, "low double, high double")
+    return deltas.select(order, value).groupBy().applyInPandas(one, "low double, high double")
 
 
 def paired_summary(deltas: DataFrame, n_boot: int, seed: int, order: str = "locked_uid") -> DataFrame:
