@@ -104,7 +104,7 @@ def update(docs: DataFrame, before: Ledger | None = None, rules: tuple[Rule, ...
         blobs = texts.join(lookup(fresh, fresh.count()), own).select("blob", "text", "todo")
     else:
         # Copies of a blob that another document stands for: as a rule few, so the texts stay where they are.
-        copies = versions.join(todo, "blob").where(~F.col("doc_id").eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("_id"), F.col("blob").alias("_blob")).distinct()
+        copies = versions.join(todo, "blob").where(~F.col("doc_id").eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("_id"), F.col("blob").alias("_blob"))
         copies = staged(copies, "ledger-copies")
         other = (F.col("blob") == F.col("_blob")) & F.col("doc_id").eqNullSafe(F.col("_id"))
         blobs = texts.join(lookup(copies, copies.count()), other, "left_anti").select("blob", "text")
