@@ -79,8 +79,11 @@ class Index:
         return np.c_[q, np.zeros(len(q))] @ self.rotation
 
     def nearest(self, p: np.ndarray, n: int) -> np.ndarray:
-        d = (self.lists * self.lists).sum(1) - 2 * (p @ self.lists.T)
-        return np.argsort(d, axis=1, kind="stable")[:, :n]
+        own, out = (self.lists * self.lists).sum(1), []
+        for a in range(0, len(p), 1024):
+            d = own - 2 * (p[a : a + 1024] @ self.lists.T)
+            out.append(d.argmin(1)[:, None] if n == 1 else np.argsort(d, axis=1, kind="stable")[:, :n])
+        return np.concatenate(out)
 
     def bound(self, p: np.ndarray, lists: np.ndarray, k: int) -> np.ndarray:
         """Squared distance of the k-th nearest sampled vector in the probed lists: infinite if there are fewer."""
