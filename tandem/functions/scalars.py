@@ -13,6 +13,16 @@ def as_null(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def clip(x: Column, low: float | None, high: float | None) -> Column:
+    """x within bounds. least() and greatest() would turn a missing x into a bound."""
+    out = F
+    if low is not None:
+        out = out.when(x < low, low)
+    if high is not None:
+        out = out.when(x > high, high)
+    return out.otherwise(x)
+
+
 def kelvin_to_c(x: Column) -> Column:
     return x - 273.15
 
@@ -22,7 +32,7 @@ def relative_humidity(temp_c: Column, dew_c: Column) -> Column:
     # Coefficients of the Magnus formula.
     a, b = 17.625, 243.04
     ratio = F.exp(a * dew_c / (b + dew_c)) / F.exp(a * temp_c / (b + temp_c))
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 * ratio))
+    return clip(100.0 * ratio, 0.0, 100.0)
 
 
 def wet_bulb(temp_c: Column, rh: Column) -> Column:
@@ -39,7 +49,7 @@ def local_solar_time(ts: Column, lon: Column) -> Column:
 def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     a, b = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((b - a) / 2), F.lit(2)) + F.cos(a) * F.cos(b) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2))
-    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    return 2 * EARTH_KM * F.asin(F.sqrt(clip(h, None, 1.0)))
 
 
 def expected_coincidences(n_a: Column, n_b: Column, n_eff: Column, k_days: int) -> Column:
@@ -70,7 +80,7 @@ def poisson_upper_tail(obs: Column, lam: Column) -> Column:
     terms = (F.ceil(12 * F.sqrt(F.greatest(obs, F.lit(1)))) + 60).cast("int")
     above = tail(obs, lambda i: lam / (obs + i), terms)
     below = 1 - tail(obs - 1, lambda i: F.greatest(obs - i, F.lit(0)) / lam, F.greatest(obs - 1, F.lit(1)))
-    return F.when((obs <= 0) | (lam <= 0), 1.0).when(obs > lam, F.least(above, F.lit(1.0))).otherwise(F.greatest(below, F.lit(0.0)))
+    return F.when((obs <= 0) | (lam <= 0), 1.0).when(obs > lam, clip(above, None, 1.0)).otherwise(clip(below, 0.0, None))
 
 
 def half_even(x: Column, digits: int = 0) -> Column:

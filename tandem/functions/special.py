@@ -17,7 +17,7 @@ _B = _A * (1 - _F)
 def geodesic_km_array(lon1, lat1, lon2, lat2) -> np.ndarray:
     """Inverse geodesic on WGS84 by Vincenty's iteration, in kilometres.
 
-    Pairs that are nearly antipodal don't converge; for them the longitude on the auxiliary sphere is bisected instead.
+    Pairs that are nearly antipodal don't converge; for them the azimuth is bisected instead.
     """
     lon1, lat1, lon2, lat2 = (np.radians(np.asarray(x, float)) for x in (lon1, lat1, lon2, lat2))
     u1, u2 = np.arctan((1 - _F) * np.tan(lat1)), np.arctan((1 - _F) * np.tan(lat2))
@@ -44,19 +44,43 @@ def geodesic_km_array(lon1, lat1, lon2, lat2) -> np.ndarray:
             break
         lam = nxt
     lost = ~(np.abs(turn(lam)[0] - lam) < 1e-10) | (np.abs(lam) > np.pi)
-    if lost.any():  # the root of lam - next(lam) lies between the true longitude and half a turn
-        low, high = np.abs(wide).copy(), np.full_like(wide, np.pi)
-        for _ in range(100):
-            mid = (low + high) / 2
-            beyond = np.abs(turn(np.copysign(mid, wide))[0]) < mid
-            low, high = np.where(beyond, low, mid), np.where(beyond, mid, high)
-        lam = np.where(lost, np.copysign(low, wide), lam)
     _, sigma, ss, cs, c2a, c2m = turn(lam)
     k = c2a * (_A**2 - _B**2) / _B**2
     big = 1 + k / 16384 * (4096 + k * (-768 + k * (320 - 175 * k)))
     small = k / 1024 * (256 + k * (-128 + k * (74 - 47 * k)))
     d = small * ss * (c2m + small / 4 * (cs * (2 * c2m**2 - 1) - small / 6 * c2m * (4 * ss**2 - 3) * (4 * c2m**2 - 3)))
-    return _B * big * (sigma - d) / 1000
+    out = _B * big * (sigma - d) / 1000
+    if lost.any():
+        out[lost] = _nearly_antipodal_km(u1[lost], u2[lost], np.abs(wide[lost]))
+    return out
+
+
+def _nearly_antipodal_km(u1: np.ndarray, u2: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """The same by bisecting the first azimuth, with the ellipsoid's integrals by quadrature; u1, u2: reduced latitudes."""
+    swap = np.abs(u1) < np.abs(u2)
+    u1, u2 = np.where(swap, u2, u1), np.where(swap, u1, u2)
+    sign = np.where(u1 > 0, -1.0, 1.0)
+    u1, u2 = u1 * sign, u2 * sign
+    node, weight = np.polynomial.legendre.leggauss(48)
+    ep2 = (_A**2 - _B**2) / _B**2
+
+    def geodesic(azimuth):
+        sa, ca = np.sin(azimuth), np.cos(azimuth)
+        s0, c0 = sa * np.cos(u1), np.hypot(ca, sa * np.sin(u1))
+        c2 = np.sqrt(np.maximum(0, (ca * np.cos(u1)) ** 2 + np.cos(u2) ** 2 - np.cos(u1) ** 2))
+        first, last = np.arctan2(np.sin(u1), ca * np.cos(u1)), np.arctan2(np.sin(u2), c2)
+        turn = np.arctan2(s0 * np.sin(u2), c2) - np.arctan2(s0 * np.sin(u1), ca * np.cos(u1))
+        half, mid = (last - first) / 2, (last + first) / 2
+        root = np.sqrt(1 + ep2 * (c0[:, None] * np.sin(mid[:, None] + half[:, None] * node)) ** 2)
+        shift = half * (((2 - _F) / (1 + (1 - _F) * root)) @ weight)
+        return turn - _F * s0 * shift, _B * half * (root @ weight) / 1000
+
+    low, high = np.zeros_like(wide), np.full_like(wide, np.pi)
+    for _ in range(80):
+        mid = (low + high) / 2
+        short = geodesic(mid)[0] < wide
+        low, high = np.where(short, mid, low), np.where(short, high, mid)
+    return geodesic((low + high) / 2)[1]
 
 
 @F.pandas_udf(T.DoubleType())

@@ -65,11 +65,11 @@ def band_pass(frame: DataFrame, low: int = 4, high: int = 8, z: str = "z", out:
 def band_pass_sums(frame: DataFrame, by: list[str], n: int, low: int, high: int, z: str = "z") -> DataFrame:
     """(by, i, wave): the same as plain sums of cosines and sines, without Python. n: the arrays' length."""
     terms = frame.select(*by, F.posexplode(z).alias("i", "v"))
-    wave = F.explode(F.sequence(F.lit(low), F.lit(high))).alias("k")
-    angle = F.lit(2 * math.pi / n) * F.pmod(F.col("k") * F.col("i"), F.lit(n))
-    spectrum = terms.select(*by, "i", "v", wave).groupBy(*by, "k").agg(F.sum(F.col("v") * F.cos(angle)).alias("re"), F.sum(F.col("v") * F.sin(angle)).alias("im"))
+    wave = F.explode(F.sequence(F.lit(low), F.lit(high))).alias("_wave")
+    angle = F.lit(2 * math.pi / n) * F.pmod(F.col("_wave") * F.col("i"), F.lit(n))
+    spectrum = terms.select(*by, "i", "v", wave).groupBy(*by, "_wave").agg(F.sum(F.col("v") * F.cos(angle)).alias("re"), F.sum(F.col("v") * F.sin(angle)).alias("im"))
     places = spectrum.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    weight = F.when(F.col("k") * 2 == n, 1.0).otherwise(2.0) / n
+    weight = F.when(F.col("_wave") * 2 == n, 1.0).otherwise(2.0) / n
     return places.groupBy(*by, "i").agg(F.sum(weight * (F.col("re") * F.cos(angle) + F.col("im") * F.sin(angle))).alias("wave"))
 
 

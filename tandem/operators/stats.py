@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scalars import clip
 from ..functions.special import kendall_p, normal_upper_tail
 
 #: The 97.5 % point of the normal distribution, by which a 95 % interval of ranks is cut.
@@ -92,7 +93,7 @@ def wilcoxon_z(deltas: DataFrame, by: tuple[str, ...] = (), value: str = "delta"
 
 def wilcoxon(deltas: DataFrame, by: tuple[str, ...] = (), value: str = "delta") -> DataFrame:
     z = wilcoxon_z(deltas, by, value)
-    return z.withColumn("p_greater", normal_upper_tail("z")).withColumn("p_two_sided", F.least(F.lit(1.0), 2 * normal_upper_tail(F.abs("z"))))
+    return z.withColumn("p_greater", normal_upper_tail("z")).withColumn("p_two_sided", clip(2 * normal_upper_tail(F.abs("z")), None, 1.0))
 
 
 def bootstrap_mean(deltas: DataFrame, n_boot: int, seed: int, order: str, value: str = "delta") -> DataFrame:

@@ -21,11 +21,12 @@ TAU = 0.95
 
 
 def hot_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.event_days(node_days(spark, sf_dir), HOT)
+    """The hot event table. It is what most queries start from, so it is kept once it has been computed."""
+    return E.event_days(node_days(spark, sf_dir), HOT).persist()
 
 
 def cold_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.event_days(node_days(spark, sf_dir), COLD)
+    return E.event_days(node_days(spark, sf_dir), COLD).persist()
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,11 +73,12 @@ def pair_scores_dipole(spark, sf_dir):
 
 
 def coherent(spark, sf_dir) -> DataFrame:
-    return C.edges(C.pair_scores(hot_days(spark, sf_dir), PAIRS, blocked=True), nodes(spark, sf_dir), PAIRS)
+    """The edge table, kept like the event tables: screens and bundles read it several times."""
+    return C.edges(C.pair_scores(hot_days(spark, sf_dir), PAIRS, blocked=True), nodes(spark, sf_dir), PAIRS).persist()
 
 
 def dipole(spark, sf_dir) -> DataFrame:
-    return C.edges(C.pair_scores(hot_days(spark, sf_dir), PAIRS, cold_days(spark, sf_dir), blocked=True), nodes(spark, sf_dir), PAIRS)
+    return C.edges(C.pair_scores(hot_days(spark, sf_dir), PAIRS, cold_days(spark, sf_dir), blocked=True), nodes(spark, sf_dir), PAIRS).persist()
 
 
 def _edge_rows(e: DataFrame) -> DataFrame:
