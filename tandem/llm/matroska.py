@@ -23,7 +23,7 @@ from ._common import table, text_of
 EBML, VERSION, READ_VERSION, MAX_ID, MAX_SIZE, DOC_TYPE, DOC_VERSION, DOC_READ = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
 SEGMENT, INFO, SCALE, MUXING_APP, WRITING_APP, DURATION = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4D80, 0x5741, 0x4489
 TRACKS, TRACK, NUMBER, UID, TYPE, LACING, CODEC = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86
-AUDIO, RATE, CHANNELS, DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
+AUDIO, RATE, CHANNELS, DEPTH, FRAME_NS = 0xE1, 0xB5, 0x9F, 0x6264, 0x23E383
 CLUSTER, TIMESTAMP, SIMPLE_BLOCK, GROUP, BLOCK, REFERENCE = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUES, POINT, CUE_TIME, POSITIONS, CUE_TRACK, CUE_POSITION = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 _MASTERS = {SEGMENT, INFO, TRACKS, TRACK, AUDIO, CLUSTER, GROUP, CUES, POINT, POSITIONS, EBML}
@@ -70,7 +70,7 @@ def write(payload: bytes, lacing: tuple[int, ...] = (FIXED, EBML_LACING, XIPH, N
         raise ValueError(f"the payload must be a positive multiple of {FRAME} bytes")
     head = _element(EBML, b"".join((_element(VERSION, 1), _element(READ_VERSION, 1), _element(MAX_ID, 4), _element(MAX_SIZE, 8), _element(DOC_TYPE, "matroska"), _element(DOC_VERSION, 4), _element(DOC_READ, 2))))
     audio = _element(AUDIO, _element(RATE, np.array(SAMPLE_RATE, ">f4").tobytes()) + _element(CHANNELS, 1) + _element(DEPTH, 8))
-    track = _element(TRACK, _element(NUMBER, 1) + _element(UID, 1) + _element(TYPE, 2) + _element(LACING, 1) + _element(CODEC, "A_PCM/INT/LIT") + audio)
+    track = _element(TRACK, _element(NUMBER, 1) + _element(UID, 1) + _element(TYPE, 2) + _element(LACING, 1) + _element(FRAME_NS, FRAME_MS * 1_000_000) + _element(CODEC, "A_PCM/INT/LIT") + audio)
     frames = [payload[a : a + FRAME] for a in range(0, len(payload), FRAME)]
     info = _element(INFO, _element(SCALE, 1_000_000) + _element(MUXING_APP, "tandem") + _element(WRITING_APP, "tandem") + _element(DURATION, np.array(len(frames) * FRAME_MS, ">f8").tobytes()))
     body, cues, at, n_block = [info, _element(TRACKS, track)], [], 0, 0
@@ -169,7 +169,7 @@ class Media:
 def parse(data: bytes) -> Media:
     """The packet table of a file. Raises ValueError where it isn't well-formed."""
     number = lambda a, b: int.from_bytes(data[a:b], "big")
-    tracks, blocks, cued, clusters, scale = {}, [], set(), 0, 1_000_000
+    tracks, pace, blocks, cued, clusters, scale = {}, {}, [], set(), 0, 1_000_000
     top = list(elements(data, 0, len(data)))
     if not top or top[0][0] != EBML:
         raise ValueError("no EBML header")
@@ -184,6 +184,7 @@ def parse(data: bytes) -> Media:
                 for _, x, y, _ in (e for e in elements(data, a, b) if e[0] == TRACK):
                     fields = {child: (p, q) for child, p, q, _ in elements(data, x, y)}
                     tracks[number(*fields[NUMBER])] = data[slice(*fields[CODEC])].decode() if CODEC in fields else ""
+                    pace[number(*fields[NUMBER])] = number(*fields[FRAME_NS]) if FRAME_NS in fields else 0
             elif ident == CUES:
                 for _, x, y, _ in (e for e in elements(data, a, b) if e[0] == POINT):
                     for _, p, q, _ in (e for e in elements(data, x, y) if e[0] == POSITIONS):
@@ -204,7 +205,8 @@ def parse(data: bytes) -> Media:
         track, x = vint(data, x)
         offset, flags = int.from_bytes(data[x : x + 2], "big", signed=True), data[x + 2]
         key = bool(flags & 0x80) if key is None else key
-        packets += [(track, (time + offset) * scale, a, b, key, start in cued) for a, b in unlace(data, x + 3, y, flags >> 1 & 3)]
+        laced = enumerate(unlace(data, x + 3, y, flags >> 1 & 3))  # a block's later frames follow at the track's frame duration
+        packets += [(track, (time + offset) * scale + i * pace.get(track, 0), a, b, key, start in cued) for i, (a, b) in laced]
     return Media(tracks, packets, clusters, len(cued))
 
 
@@ -239,7 +241,7 @@ def packet_table(files: DataFrame, key: str = "doc_id", column: str = "media") -
     """A row per packet of the files in column: key, track, packet, timestamp_ns, start, end, is_key, cued. Null files have none."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = files.select(F.col(key).alias("key")).schema.add("track", "int").add("packet", "long").add("timestamp_ns", "long").add("start", "long").add("end", "long").add("is_key", "boolean").add("cued", "boolean")
+    schema = files.select(F.col(key).alias("key")).schema.add("track", "integer").add("packet", "long").add("timestamp_ns", "long").add("start", "long").add("end", "long").add("is_key", "boolean").add("cued", "boolean")
 
     def batches(it):
         for b in it:

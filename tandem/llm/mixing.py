@@ -1,8 +1,9 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
 Each source's documents are dealt by a seeded hash into shards, each shard is a stream of words in seeded order, and the
-stream is cut into blocks of equal length. Blocks go to shards by the highest quotients target / (2 * seats + 1); a
-shard with n blocks and quota q takes every block q // n times and q % n seeded blocks once more.
+stream is cut into blocks of equal length (to a word). Blocks go to shards by the highest quotients votes / (2 * seats +
+1), where a shard's votes are the blocks that its part of the target asks for; a shard with n blocks and quota q takes
+every block q // n times and q % n seeded blocks once more.
 """
 
 from __future__ import annotations
@@ -91,8 +92,9 @@ def _stride(n: int) -> int:
 def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
     """A row per row of docs (doc_id, source, text): doc_id, version, size, source_size, target and what to take.
 
-    What to take: begin (first word's place in its shard's stream), block (words in a block), repeats (times that every
-    block is taken), extra, blocks, stride, offset (block b is taken once more if (stride * b + offset) % blocks < extra).
+    What to take: begin (first word's place in its shard's stream), words and blocks (of the shard; block b is from
+    b * words // blocks to the next), repeats (times that every block is taken), extra, stride, offset (block b is taken
+    once more if (stride * b + offset) % blocks < extra).
     """
     spark = docs.sparkSession
     sized = staged(docs.select("doc_id", "source", F.xxhash64(text_of()).alias("version"), n_words(text_of()).alias("size")), "mix-sizes")
@@ -110,24 +112,26 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED
     cells.sort(key=lambda r: (r["source"] is None, r["source"] or "", r["shard"]))
     by_source = {s: (size, t) for s, size, t, _ in of_source}
     blocks = [-(-r["size"] // block) for r in cells]
-    votes = [by_source[r["source"]][1] * r["size"] / max(1, by_source[r["source"]][0]) for r in cells]
-    quota = sainte_lague(votes, round(sum(sizes) / block), [MOST_REPEATS * n for n in blocks])
+    votes = [by_source[r["source"]][1] * n / max(1, by_source[r["source"]][0]) for r, n in zip(cells, blocks)]
+    quota = sainte_lague(votes, round(sum(votes)), [MOST_REPEATS * n for n in blocks])
     rng = np.random.default_rng(seed)
-    rows = [(r["source"], r["shard"], q // max(1, n), q % max(1, n), max(1, n), _stride(max(1, n)), int(rng.integers(max(1, n)))) for r, n, q in zip(cells, blocks, quota)]
-    fields = [T.StructField("_source", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("_shard", "repeats", "extra", "blocks", "stride", "offset")]]
+    rows = [(r["source"], r["shard"], q // max(1, n), q % max(1, n), max(1, n), _stride(max(1, n)), int(rng.integers(max(1, n))), r["size"]) for r, n, q in zip(cells, blocks, quota)]
+    fields = [T.StructField("_source", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("_shard", "repeats", "extra", "blocks", "stride", "offset", "words")]]
     quotas = lookup(spark.createDataFrame(rows, T.StructType(fields)), len(rows))
     placed = dealt.withColumn("begin", F.coalesce(F.sum("size").over(Window.partitionBy("source", "shard").orderBy("order", "doc_id", "version").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     placed = placed.join(quotas, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard"))).drop("_source", "_shard")
-    return placed.withColumn("block", F.lit(block).cast("long")).drop("order", "shard", "shards")
+    return placed.drop("order", "shard", "shards")
 
 
 def _extra_blocks() -> Column:
-    """The doubly taken blocks that a document meets, as (first word, end) within the document."""
-    last = F.when(F.col("size") > 0, (F.col("begin") + F.col("size") - 1)).otherwise(F.col("begin"))
-    touched = F.sequence(F.floor(F.col("begin") / F.col("block")), F.floor(last / F.col("block")))
-    chosen = F.filter(touched, lambda b: (b * F.col("stride") + F.col("offset")) % F.col("blocks") < F.col("extra"))
-    bound = lambda x: F.greatest(F.lit(0), F.least(F.col("size"), x - F.col("begin")))
-    return F.transform(chosen, lambda b: F.struct(bound(b * F.col("block")).alias("a"), bound((b + 1) * F.col("block")).alias("b")))
+    """The blocks taken once more that a document meets, as (first word, end) within the document."""
+    words, blocks = F.greatest("words", F.lit(1)), F.col("blocks")
+    div = lambda a, b: F.call_function("div", a, b)
+    holding = lambda place: div((place + 1) * blocks - 1, words)  # noqa: E731  the block with the word at this place
+    last = F.col("begin") + F.greatest(F.col("size"), F.lit(1)) - 1
+    chosen = F.filter(F.sequence(holding(F.col("begin")), holding(last)), lambda b: (b * F.col("stride") + F.col("offset")) % blocks < F.col("extra"))
+    bound = lambda b: F.greatest(F.lit(0), F.least(F.col("size"), div(b * words, blocks) - F.col("begin")))
+    return F.transform(chosen, lambda b: F.struct(bound(b).alias("a"), bound(b + 1).alias("b")))
 
 
 def taken() -> Column:
