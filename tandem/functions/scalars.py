@@ -100,8 +100,36 @@ def region_name(lon: Column, lat: Column, compact: bool = False) -> Column:
 
 
 def safe_name(name: Column) -> Column:
-    """A name for files: no brackets, dots and commas."""
-    return F.translate(F.regexp_replace(name, "[().]", ""), ", ", "__")
+    """A name for files: no spaces, arrows spelled out."""
+    return F.replace(F.replace(F.replace(name, F.lit(" "), F.lit("")), F.lit("->"), F.lit("_to_")), F.lit("<->"), F.lit("_and_"))
+
+
+def safe_setting(setting: Column) -> Column:
+    """A setting's label for files: "p<0.01" as "plt0p01"."""
+    return F.replace(F.replace(F.replace(setting, F.lit("<"), F.lit("lt")), F.lit("="), F.lit("")), F.lit("."), F.lit("p"))
+
+
+def replace_first(text: Column, what: str, by: str) -> Column:
+    at = F.instr(text, what)
+    return F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), F.lit(by), F.substring(text, at + len(what), F.char_length(text)))).otherwise(text)
+
+
+#: The names of the six bundles by mechanism and rank.
+BUNDLE_LABELS = {
+    ("Coherent", 1): "C1 North America-Europe",
+    ("Coherent", 2): "C2 North America-East Asia",
+    ("Coherent", 3): "C3 Europe-East Asia",
+    ("Dipole", 1): "D1 East Asia-North America",
+    ("Dipole", 2): "D2 West/Central Asia-East Asia",
+    ("Dipole", 3): "D3 North Atlantic-North America",
+}
+
+
+def bundle_label(mechanism: Column, rank: Column) -> Column:
+    out = F
+    for (m, r), label in BUNDLE_LABELS.items():
+        out = out.when((mechanism == m) & (rank == r), label)
+    return out.otherwise(F.concat(mechanism, F.lit(" "), rank.cast("string")))
 
 
 def duration_bin(days: Column) -> Column:

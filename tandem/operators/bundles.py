@@ -56,14 +56,14 @@ def synchronized_dates(signal: DataFrame, threshold: float, by: list[str] = ["cl
 
 
 def bundle_summary(edges: DataFrame, dates: DataFrame, config: BundleConfig = BundleConfig(), mechanism: str = "Coherent") -> DataFrame:
-    """A row per bundle: rank, edges, share, centroids (means over edges), node counts, dates and a name of both regions."""
+    """A row per bundle: rank, edges, share, centroids (means over edges), node counts, dates and a file name by both regions."""
     ranks = ranked_clusters(edges, config.top_n)
     centres = edges.groupBy("cluster").agg(*[F.avg(c).alias(f"centroid_{c}") for c in ENDPOINTS], F.count_distinct("a").alias("node_count_a"), F.count_distinct("b").alias("node_count_b"))
     spans = dates.groupBy("cluster").agg(F.count(F.lit(1)).alias("date_count"), S.day_text(F.min("day")).alias("first_date"), S.day_text(F.max("day")).alias("last_date"))
     compact = mechanism == "Coherent"
     name = F.concat(S.region_name(F.col("centroid_lon1"), F.col("centroid_lat1"), compact), F.lit("_and_" if compact else "_to_"), S.region_name(F.col("centroid_lon2"), F.col("centroid_lat2"), compact))
     out = ranks.join(centres, "cluster").join(spans, "cluster", "left")
-    return out.select(F.lit(mechanism).alias("mechanism"), "rank", F.col("cluster").alias("cluster_id"), "edge_count", "edge_share", *[f"centroid_{c}" for c in ENDPOINTS], "node_count_a", "node_count_b", F.coalesce("date_count", F.lit(0)).alias("date_count"), F.coalesce("first_date", F.lit("")).alias("first_date"), F.coalesce("last_date", F.lit("")).alias("last_date"), S.safe_name(name).alias("name"))
+    return out.select(F.lit(mechanism).alias("mechanism"), "rank", F.col("cluster").alias("cluster_id"), "edge_count", "edge_share", *[f"centroid_{c}" for c in ENDPOINTS], "node_count_a", "node_count_b", F.coalesce("date_count", F.lit(0)).alias("date_count"), F.coalesce("first_date", F.lit("")).alias("first_date"), F.coalesce("last_date", F.lit("")).alias("last_date"), F.concat(F.lit(f"dates_{mechanism.lower()}_bundle_"), "rank", F.lit("_"), S.safe_name(name), F.lit(".csv")).alias("date_file"))
 
 
 def extract_bundles(edges: DataFrame, events: DataFrame, config: BundleConfig = BundleConfig(), min_km: float = 2500.0, cold: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -79,6 +79,15 @@ def extract_bundles(edges: DataFrame, events: DataFrame, config: BundleConfig =
     return bundle_summary(clustered, dates, config, "Coherent" if cold is None else "Dipole"), dates
 
 
+def reconstruction(edges: DataFrame, summary: DataFrame) -> DataFrame:
+    """(cluster_id, check, ok, failures): edge and node counts recomputed from clustered edges against a summary's."""
+    again = edges.groupBy(F.col("cluster").alias("cluster_id")).agg(F.count(F.lit(1)).alias("_edges"), F.count_distinct("a").alias("_a"), F.count_distinct("b").alias("_b"))
+    both = summary.join(again, "cluster_id", "left")
+    pairs = {"edge_count": "_edges", "node_count_a": "_a", "node_count_b": "_b"}
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("check"), F.coalesce(F.col(k) == F.col(v), F.lit(False)).alias("ok"), F.abs(F.col(k) - F.coalesce(F.col(v), F.lit(0))).cast("bigint").alias("failures")) for k, v in pairs.items()])).alias("r")
+    return both.select("cluster_id", rows).select("cluster_id", "r.*")
+
+
 def fixed_groups(node: Column, k: int) -> Column:
     """A clustering that needs no model, for comparisons: the node's id modulo k."""
     return F.pmod(node, F.lit(k))

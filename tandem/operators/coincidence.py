@@ -173,6 +173,20 @@ def fdr_screen(edges_: DataFrame, m: DataFrame, q: float = 0.05, mode: str = "co
     return ranked.crossJoin(F.broadcast(cutoff)).withColumn("keep", F.coalesce(F.col("p") <= F.col("cutoff"), F.lit(False)))
 
 
+def fdr_summary(screened: DataFrame, m: DataFrame, q: float, long_range_km: float = 2500.0) -> DataFrame:
+    """candidates, tests, q, retained, cutoff and the retained edges' long-range count, percentage and median distance.
+
+    Retained is the number of ranks at or below the line; distances are of all edges up to the cut-off, ties included.
+    """
+    far = F.col("dist_km") > long_range_km
+    kept = F.col("keep")
+    got = screened.agg(
+        F.count(F.lit(1)).alias("candidates"), F.count_if("below").alias("retained"), F.max("cutoff").alias("cutoff"), F.count_if(kept & far).alias("retained_long"),
+        F.round(100 * F.avg(F.when(kept, far.cast("double"))), 6).alias("percent_long"), F.round(F.median(F.when(kept, F.col("dist_km"))), 6).alias("median_km"),
+    )
+    return got.crossJoin(m).select("candidates", F.col("m").alias("tests"), F.lit(q).alias("q"), "retained", "cutoff", "retained_long", "percent_long", "median_km")
+
+
 def edge_summary(edges_: DataFrame, long_range_km: float = 2500.0, by: tuple[str, ...] = ()) -> DataFrame:
     """n_edges, long-range count and percentage, median distance."""
     far = F.col("dist_km") > long_range_km

@@ -100,6 +100,29 @@ def diagnostics(waves: DataFrame, n: int, config: SpectralConfig = SpectralConfi
     return out.withColumn("same_sign", S.same_sign(F.col("wave_a"), F.col("wave_b"))).withColumn("class", S.class_by_delta(F.col("abs_delta"), config.class_m))
 
 
+def bundle_diagnostics(bundles: DataFrame, dates: DataFrame, heights: DataFrame, n: int, config: SpectralConfig = SpectralConfig(), level: int = 500, lag: int = 3) -> DataFrame:
+    """Per bundle: windows, the wave's values at both centroids, their difference, sign and class, and the drift.
+
+    bundles: bundle, lon_a, lat_a, lon_b, lat_b; dates: bundle, date; heights: date, level, lat, z (array of n). For each
+    date the rows nearest in time (at 0, -lag and +lag days, within the date's year) at the latitude nearest to both
+    centroids' mean are composed as anomalies and band-passed.
+    """
+    target = bundles.withColumn("target_lat", (F.col("lat_a") + F.col("lat_b")) / 2)
+    grid = heights.select("level", "lat").distinct()
+    choice = F.min_by(F.struct("level", "lat"), F.struct(F.abs(F.col("level") - level), F.abs(F.col("lat") - F.col("target_lat")), F.col("lat"))).alias("g")
+    at = target.crossJoin(F.broadcast(grid)).groupBy("bundle").agg(choice).select("bundle", "g.*")  # the grid's levels and latitudes
+    rows = heights.join(F.broadcast(at), ["level", "lat"]).select("bundle", F.col("date").alias("h_date"), "z")
+    wanted = dates.select("bundle", "date", F.explode(F.array(F.lit(0), F.lit(-lag), F.lit(lag))).alias("shift")).withColumn("want", F.date_add("date", F.col("shift")))
+    near = wanted.join(rows, "bundle").where((F.year("h_date") == F.year("date")) & (F.abs(F.datediff("h_date", "want")) <= 31))
+    picked = near.groupBy("bundle", "date", "shift").agg(F.min_by("z", F.struct(F.abs(F.datediff("h_date", "want")), F.col("h_date"))).alias("z"))
+    waves = band_pass(composite(picked, ["bundle", "shift"]), config.low, config.high)
+    wave = lambda k, c: waves.where(F.col("shift") == k).select("bundle", F.col("wave").alias(c), *(["n"] if k == 0 else []))
+    all_ = wave(0, "wave").join(wave(-lag, "early"), "bundle").join(wave(lag, "late"), "bundle")
+    moved = drift(lag_correlation(all_, ["bundle"], n, config.max_shift), ["bundle"], days=2.0 * lag)
+    values = diagnostics(all_.join(target, "bundle"), n, config)
+    return values.join(moved, "bundle").select("bundle", F.col("n").alias("n_windows"), "target_lat", S.lon_360(F.col("lon_a")).alias("lon_a"), S.lon_360(F.col("lon_b")).alias("lon_b"), "wave_a", "wave_b", "abs_delta", "same_sign", "class", "drift")
+
+
 def band_sweep(frame: DataFrame, bands: list[tuple[int, int]], n: int, z: str = "z") -> DataFrame:
     """diagnostics of the band-passed z for each band."""
     out = None

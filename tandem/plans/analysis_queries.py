@@ -238,7 +238,7 @@ def humidity_wetbulb(spark, sf_dir):
 def region_case(spark, sf_dir):
     n = nodes(spark, sf_dir)
     long, short = S.region_name(F.col("lon"), F.col("lat")), S.region_name(F.col("lon"), F.col("lat"), True)
-    return n.select("node", long.alias("region"), S.safe_name(short).alias("safe"), S.lon_360(F.col("lon")).alias("lon360"))
+    return n.select("node", long.alias("region"), S.safe_name(F.concat(short, F.lit(" -> x"))).alias("safe"), S.lon_360(F.col("lon")).alias("lon360"))
 
 
 def cell_bounds(spark, sf_dir):
@@ -251,6 +251,38 @@ def tag_names(spark, sf_dir):
     return spark.createDataFrame(rows, "d int, k int, alpha double").select(label.alias("setting"), F.lit(S.tau_tag(0.15) + S.season_suffix("local-warm3")).alias("tag"))
 
 
+def bundle_labels(spark, sf_dir):
+    rows = [(m, r) for m in ("Coherent", "Dipole") for r in (1, 2, 3, 4)]
+    label = S.bundle_label(F.col("mechanism"), F.col("rank"))
+    return spark.createDataFrame(rows, "mechanism string, rank int").select("mechanism", "rank", label.alias("bundle"), S.replace_first(label, " ", "\n").alias("axis"), S.safe_setting(F.lit("p<0.01")).alias("slug"))
+
+
+def nearest_year(spark, sf_dir):
+    years = orders_by_year(spark, sf_dir).select("year").distinct().where("year % 2 = 0")
+    one = lambda y: X.nearest_year(years, F.lit(y)).select(F.lit(y).alias("wanted"), "nearest")
+    return one(1999).unionByName(one(1900)).unionByName(one(1996))
+
+
+def _heights(spark, sf_dir) -> DataFrame:
+    """Vectors as height rows: a day each, at one of two levels and three latitudes."""
+    i = F.col("vec_id")
+    return table(spark, sf_dir, "embeddings").select(
+        F.date_add(F.lit("2000-06-01").cast("date"), (F.floor(i / 6) % 150).cast("int")).alias("date"), F.when(i % 2 == 0, 500).otherwise(850).alias("level"),
+        (30.0 + 10 * (F.floor(i / 2) % 3)).alias("lat"), F.transform("embedding", lambda x: x * 1000).alias("z"),
+    )
+
+
+def nearest_latitude(spark, sf_dir):
+    got = P.nearest_latitude(_heights(spark, sf_dir), 41.0, 520)
+    return got.groupBy(S.day_text(F.col("date")).alias("day")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.element_at("z", 1).cast("double")), 3).alias("z0"))
+
+
+def bundle_wave_diagnostics(spark, sf_dir):
+    bundles = spark.createDataFrame([("C1", -100.0, 40.0, 10.0, 50.0), ("D1", 110.0, 30.0, -90.0, 34.0)], "bundle string, lon_a double, lat_a double, lon_b double, lat_b double")
+    dates = _heights(spark, sf_dir).select(F.when(F.dayofyear("date") % 2 == 0, "C1").otherwise("D1").alias("bundle"), "date").distinct()
+    return P.bundle_diagnostics(bundles, dates, _heights(spark, sf_dir), 64)
+
+
 def node_distances(spark, sf_dir):
     n = nodes(spark, sf_dir)
     b = n.select(F.col("node").alias("b"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
@@ -456,9 +488,12 @@ po as (select cluster, footprint, coalesce(sum(population), 0) as population fro
         "nearest_primary": Q.query(Q.NODES, corridors, closest, select="select setting, layer, rank, ref as closest_primary_rank, round(km, 5) as closest_primary_km, coalesce(km <= 1500, false) as within_1500km, coalesce(km <= 2500, false) as within_2500km from np"),
         "geography_summary": Q.query(Q.NODES, corridors, closest, select=f"select setting, layer, count(*) as bundles, count(*) filter (where km <= 1500) as within_1500km, count(*) filter (where km <= 2500) as within_2500km, round(median(km), 5) as median_km, string_agg({region('a_lon', 'a_lat')} || ' - ' || {region('b_lon', 'b_lat')}, '; ' order by rank) as corridors from np group by 1, 2"),
         "humidity_wetbulb": f"with e as (select event_id, value % 40 as t, value % 40 - value % 7 as td from events), r as (select *, {rh} as rh from e) select event_id, round(rh, 6) as rh, round(t * atan(0.151977 * sqrt(rh + 8.313659)) + atan(t + rh) - atan(rh - 1.676331) + 0.00391838 * pow(rh, 1.5) * atan(0.023101 * rh) - 4.686035, 6) as tw from r",
-        "region_case": Q.query(Q.NODES, select=f"select node, {region('lon', 'lat')} as region, replace(replace(replace(replace({region('lon', 'lat', 'N.America', 'E.Asia')}, '(', ''), ')', ''), '.', ''), ',', '_') as safe, (lon % 360 + 360) % 360 as lon360 from nodes"),
+        "region_case": Q.query(Q.NODES, select=f"select node, {region('lon', 'lat')} as region, replace({region('lon', 'lat', 'N.America', 'E.Asia')}, ' ', '') || '_to_x' as safe, (lon % 360 + 360) % 360 as lon360 from nodes"),
         "cell_bounds": Q.query(Q.NODES, select="select node, greatest(lon - 0.125, -180.0) as west, least(lon + 0.125, 180.0) as east, greatest(lat - 0.125, -90.0) as south, least(lat + 0.125, 90.0) as north from nodes"),
         "tag_names": "select unnest(['Primary', 'D=1', 'K=5', 'p<0.01']) as setting, 'tau015_local_warm3' as tag",
+        "bundle_labels": "select mechanism, rank, label as bundle, regexp_replace(label, ' ', chr(10)) as axis, 'plt0p01' as slug from (values ('Coherent', 1, 'C1 North America-Europe'), ('Coherent', 2, 'C2 North America-East Asia'), ('Coherent', 3, 'C3 Europe-East Asia'), ('Coherent', 4, 'Coherent 4'), ('Dipole', 1, 'D1 East Asia-North America'), ('Dipole', 2, 'D2 West/Central Asia-East Asia'), ('Dipole', 3, 'D3 North Atlantic-North America'), ('Dipole', 4, 'Dipole 4')) t(mechanism, rank, label)",
+        "nearest_year": "with y as (select distinct year(o_orderdate)::int as year from orders where year(o_orderdate) % 2 = 0) select w::int as wanted, (select year from y order by abs(year - w), year limit 1) as nearest from (select unnest([1999, 1900, 1996]) as w)",
+        "nearest_latitude": "select strftime(date '2000-06-01' + (vec_id // 6 % 150)::int, '%Y-%m-%d') as day, count(*) as n, round(sum(embedding[1]::double * 1000), 3) as z0 from embeddings where vec_id % 2 = 0 and (vec_id // 2) % 3 = 1 group by 1",
         "node_distances": Q.query(Q.NODES, select=f"select x.node, y.node as b, round({h('x.lon', 'x.lat', 'y.lon', 'y.lat')}, 6) as km from nodes x join nodes y on x.node < y.node"),
         "poisson_tail": f"with g as (select o::int as obs, (l * 0.75)::double as lam from range(0, 60) a(o), range(1, 40) b(l)) select obs, lam, round({tail}, 9) as p from g",
         "set_ops_nodes": f"with {sets} select 'union' as op, node from (select node from c union select node from s) union all select 'intersect', node from (select node from c intersect select node from s) union all select 'except', node from (select node from c except select node from s) union all select 'union_all', node from (select node from c union all select node from s)",
@@ -478,6 +513,6 @@ QUERIES = {f.__name__: f for f in (
     theil_sen, kendall_tau, trend_summary, wilcoxon_z, wilcoxon_p, stable_core, denominator_scenarios, denominator_scenarios_dipole, scenario_trends,
     circular_surrogates, hashed_surrogates, surrogate_summary, composite_anomaly, bandpass_dft, bandpass_fft, lag_correlation, lag_correlation_drift,
     wave_diagnostics, nearest_days, footprint_sizes, exposure_person_nights, annual_person_nights, nearest_primary, geography_summary, humidity_wetbulb,
-    region_case, cell_bounds, tag_names, node_distances, geodesic_distances, poisson_tail, set_ops_nodes, manifest_diff, set_equality, quality_checks,
+    region_case, bundle_labels, nearest_year, nearest_latitude, bundle_wave_diagnostics, cell_bounds, tag_names, node_distances, geodesic_distances, poisson_tail, set_ops_nodes, manifest_diff, set_equality, quality_checks,
     reference_comparison, override_rows, full_index_add, event_date_span, streaming_daily_minima, batch_daily_minima,
 )}

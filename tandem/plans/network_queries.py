@@ -107,6 +107,12 @@ def fdr_step_up(spark, sf_dir):
     return _fdr(spark, sf_dir, "step_up")
 
 
+def fdr_summary(spark, sf_dir):
+    m = C.test_count(C.valid_nodes(hot_days(spark, sf_dir), PAIRS.min_events))
+    got = C.fdr_summary(C.fdr_screen(coherent(spark, sf_dir), m, FDR_Q), m, FDR_Q, 8000.0)
+    return got.withColumn("cutoff", F.round("cutoff", 8))
+
+
 def edge_summary(spark, sf_dir):
     return C.edge_summary(coherent(spark, sf_dir), 8000.0)
 
@@ -213,6 +219,11 @@ def bundle_summary(spark, sf_dir):
     return got.select("mechanism", "rank", "cluster_id", "edge_count", F.round("edge_share", 8).alias("edge_share"), *[F.round(f"centroid_{c}", 6).alias(f"centroid_{c}") for c in B.ENDPOINTS], "node_count_a", "node_count_b", "date_count", "first_date", "last_date")
 
 
+def bundle_reconstruction(spark, sf_dir):
+    clustered = coherent(spark, sf_dir).withColumn("cluster", B.fixed_groups(F.col("a"), 3).cast("int"))
+    return B.reconstruction(clustered, bundle_summary(spark, sf_dir))
+
+
 def cluster_bundles(spark, sf_dir):
     summary, _ = B.extract_bundles(coherent(spark, sf_dir), _flagged(hot_days(spark, sf_dir)), BundleConfig(clusters=3, threshold=THRESHOLD), min_km=2500.0)
     return summary
@@ -266,6 +277,8 @@ def oracles() -> dict[str, str]:
         "dipole_edges": Q.query(*dip, select=edge_columns),
         "fdr_screen": Q.query(*coh, ranked, select=fdr.format("count(*) filter (where below) over ()")),
         "fdr_step_up": Q.query(*coh, ranked, select=fdr.format("coalesce(max(case when below then rank end) over (), 0)")),
+        "fdr_summary": Q.query(*coh, ranked, f"fk as ({fdr.format('count(*) filter (where below) over ()').replace('select a, b, rank, round(line, 8) as line, round(cutoff, 8) as cutoff,', 'select dist_km, below, m, cutoff,')})", select=f"select count(*) as candidates, max(m)::bigint as tests, {FDR_Q}::double as q, count(*) filter (where below) as retained, round(max(cutoff), 8) as cutoff, count(*) filter (where keep and dist_km > 8000) as retained_long, round(100 * avg((dist_km > 8000)::int::double) filter (where keep), 6) as percent_long, round(median(dist_km) filter (where keep), 6) as median_km from fk"),
+        "bundle_reconstruction": Q.query(*coh, select="select c::int as cluster_id, k as \"check\", true as ok, 0::bigint as failures from (select distinct a % 3 as c from e), (select unnest(['edge_count', 'node_count_a', 'node_count_b']) as k)"),
         "edge_summary": Q.query(*coh, select=f"select {summary} from e"),
         "alpha_sweep": Q.query(*coh, select=f"select alpha::double as alpha, {summary} from e join (select unnest([0.8, 0.9, 0.95]::double[]) as alpha) on p < alpha group by alpha"),
         "setting_sweep": Q.query(Q.NODES, *hot, *sweep, f"al as ({all_settings})", select="select *, round(n_edges::double / (select n_edges from al where setting = 'Primary'), 6) as ratio_to_primary from al"),
@@ -281,7 +294,7 @@ def oracles() -> dict[str, str]:
 
 QUERIES = {f.__name__: f for f in (
     valid_nodes, test_counts, pair_overlap, pair_observed, pair_observed_dipole, pair_counts_blocked, pair_counts_blocked_dipole, pair_scores,
-    pair_scores_dipole, coherent_edges, dipole_edges, fdr_screen, fdr_step_up, edge_summary, alpha_sweep, setting_sweep, event_runs, locked_runs_join,
+    pair_scores_dipole, coherent_edges, dipole_edges, fdr_screen, fdr_step_up, fdr_summary, edge_summary, alpha_sweep, setting_sweep, event_runs, locked_runs_join,
     locked_runs_join_dipole, locked_runs_sweep, locked_runs_sweep_dipole, raw_lock_summary, matched_controls, matched_deltas, paired_summary,
-    stratified_summary, daily_signal, synchronized_dates, bundle_summary, cluster_bundles, geodesic_edges, edge_sample,
+    stratified_summary, daily_signal, synchronized_dates, bundle_summary, bundle_reconstruction, cluster_bundles, geodesic_edges, edge_sample,
 )}
