@@ -66,18 +66,18 @@ def _block_counts(k_days: int, same: bool):
         columns = {"a": "int64", "b": "int64", "n_eff": "int64", "n_a": "int64", "n_b": "int64", "obs": "int64"}
         if left.empty or right.empty:
             return pd.DataFrame({c: pd.Series(dtype=t) for c, t in columns.items()})
-        first = int(min(left["d"].min(), right["d"].min()))
-        n_days = int(max(left["d"].max(), right["d"].max())) - first + 1
+        first = int(min(left["d"].min(), right["d"].min())) - k_days  # room for a window around every event
+        n_days = int(max(left["d"].max(), right["d"].max())) + k_days - first + 1
         na, act_a, evt_a = bits(left, first, n_days)
         nb, act_b, evt_b = bits(right, first, n_days)
         fa, fb = act_a.astype(np.float32), act_b.astype(np.float32)
         n_eff, n_a, n_b = fa @ fb.T, evt_a.astype(np.float32) @ fb.T, fa @ evt_b.astype(np.float32).T
         obs = np.zeros((len(na), len(nb)), np.int64)
+        around = np.arange(-k_days, k_days + 1)
         for i in range(len(na)):
-            usable = (evt_b & act_a[i]).astype(np.int64)  # b's events on days on which a is active
-            run = np.concatenate([np.zeros((len(nb), 1), np.int64), usable.cumsum(1)], 1)
             days = np.flatnonzero(evt_a[i])
-            hit = run[:, np.minimum(n_days, days + k_days + 1)] > run[:, np.maximum(0, days - k_days)]
+            window = days[:, None] + around
+            hit = (evt_b[:, window] & act_a[i][window]).any(2)  # b's events on days on which a is active
             obs[i] = (hit & act_b[:, days]).sum(1)
         keep = (na[:, None] < nb[None, :]) if same else (na[:, None] != nb[None, :])
         i, j = np.nonzero(keep & (n_eff > 0))

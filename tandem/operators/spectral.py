@@ -32,11 +32,13 @@ def nearest_days(dates: DataFrame, heights: DataFrame, offset: int = 0) -> DataF
 
     dates: by, date; heights: date, z. A shift over the year's edge is clamped to the year's first or last row.
     """
-    want = F.date_add("date", offset)
-    days = heights.select(F.col("date").alias("h_date"), "z", F.year("date").alias("yr"))
-    near = dates.withColumn("yr", F.year("date")).join(days, "yr").where(F.abs(F.datediff("h_date", want)) <= max(31, abs(offset)))
     keys = dates.columns
-    return near.groupBy(*keys).agg(F.min_by("z", F.struct(F.abs(F.datediff("h_date", want)), F.col("h_date"))).alias("z"))
+    wanted = dates.withColumn("_want", F.date_add("date", offset)).withColumn("_yr", F.year("date"))
+    days = heights.select(F.col("date").alias("_h"), F.year("date").alias("_yr")).distinct()
+    # The nearest day is found on dates alone; the arrays join once it is known.
+    near = wanted.join(days, "_yr").where(F.abs(F.datediff("_h", "_want")) <= max(31, abs(offset)))
+    best = near.groupBy(*keys).agg(F.min_by("_h", F.struct(F.abs(F.datediff("_h", "_want")), F.col("_h"))).alias("_h"))
+    return best.join(heights.select(F.col("date").alias("_h"), "z"), "_h").select(*keys, "z")
 
 
 def nearest_latitude(heights: DataFrame, latitude: float, level: int) -> DataFrame:
@@ -112,9 +114,11 @@ def bundle_diagnostics(bundles: DataFrame, dates: DataFrame, heights: DataFrame,
     choice = F.min_by(F.struct("level", "lat"), F.struct(F.abs(F.col("level") - level), F.abs(F.col("lat") - F.col("target_lat")), F.col("lat"))).alias("g")
     at = target.crossJoin(F.broadcast(grid)).groupBy("bundle").agg(choice).select("bundle", "g.*")  # the grid's levels and latitudes
     rows = heights.join(F.broadcast(at), ["level", "lat"]).select("bundle", F.col("date").alias("h_date"), "z")
-    wanted = dates.select("bundle", "date", F.explode(F.array(F.lit(0), F.lit(-lag), F.lit(lag))).alias("shift")).withColumn("want", F.date_add("date", F.col("shift")))
-    near = wanted.join(rows, "bundle").where((F.year("h_date") == F.year("date")) & (F.abs(F.datediff("h_date", "want")) <= 31))
-    picked = near.groupBy("bundle", "date", "shift").agg(F.min_by("z", F.struct(F.abs(F.datediff("h_date", "want")), F.col("h_date"))).alias("z"))
+    wanted = dates.select("bundle", "date", F.explode(F.array(F.lit(0), F.lit(-lag), F.lit(lag))).alias("shift"), F.year("date").alias("yr")).withColumn("want", F.date_add("date", F.col("shift")))
+    days = rows.select("bundle", "h_date", F.year("h_date").alias("yr")).distinct()
+    near = wanted.join(days, ["bundle", "yr"]).where(F.abs(F.datediff("h_date", "want")) <= 31)
+    best = near.groupBy("bundle", "date", "shift").agg(F.min_by("h_date", F.struct(F.abs(F.datediff("h_date", "want")), F.col("h_date"))).alias("h_date"))
+    picked = best.join(rows, ["bundle", "h_date"])
     waves = band_pass(composite(picked, ["bundle", "shift"]), config.low, config.high)
     wave = lambda k, c: waves.where(F.col("shift") == k).select("bundle", F.col("wave").alias(c), *(["n"] if k == 0 else []))
     all_ = wave(0, "wave").join(wave(-lag, "early"), "bundle").join(wave(lag, "late"), "bundle")
