@@ -58,7 +58,8 @@ def wilcoxon_z(spark, sf_dir):
 
 
 def wilcoxon_p(spark, sf_dir):
-    return T.wilcoxon(_node_deltas(spark, sf_dir))
+    got = T.wilcoxon(_node_deltas(spark, sf_dir))
+    return got.select("n", F.round("p_greater", 8).alias("p_greater"), F.round("p_two_sided", 8).alias("p_two_sided"))
 
 
 def bundle_sides(spark, sf_dir) -> DataFrame:
@@ -418,9 +419,7 @@ def oracles() -> dict[str, str]:
 tt as (select status, sum(t * (t - 1) / 2)::double as ty from (select status, y, count(*) as t from se group by 1, 2) group by 1),
 nn as (select status, count(*) as n from se group by 1)"""
     deltas = "dl as (select node, floor((avg(value) filter (where year % 2 = 1) - avg(value) filter (where year % 2 = 0)) / 500) as delta from nd group by 1)"
-    wz = """rk as (select abs(delta) as a, count(*) as t, count(*) filter (where delta > 0) as plus from dl where delta <> 0 group by 1),
-rr as (select *, coalesce(sum(t) over (order by a rows between unbounded preceding and 1 preceding), 0) + (t + 1) / 2.0 as rank from rk),
-ww as (select sum(t)::bigint as n, sum(plus * rank)::double as w_plus, sum(t * t * t - t)::double as ties from rr)"""
+    wz = Q.signed_ranks("dl", "wx")
     sur = f"""ps as (select node, year, day, evt_run as evt, row_number() over (partition by node, year order by day) - 1 as pos, count(*) over (partition by node, year) as n, sum(evt_run) over (partition by node, year) as k from ev),
 dr as (select d as draw, e.node, e.year, e.n, (e.pos + (e.node * 31 + d * 17 + e.year) % e.n) % e.n as np from ps e cross join range(0, {DRAWS}) t(d) where e.evt = 1 and e.k > 0),
 sh as (select draw, dr.node, ps.day from dr join ps on ps.node = dr.node and ps.year = dr.year and ps.pos = np),
@@ -468,7 +467,8 @@ po as (select cluster, footprint, coalesce(sum(population), 0) as population fro
     return {
         "theil_sen": Q.query(series, _sens("se", "status"), select="select status, round(slope, 6) as slope, round(intercept, 6) as intercept, round(low95, 6) as low95, round(high95, 6) as high95 from ts"),
         "kendall_tau": Q.query(series, tau, select="select status, n, score, round(score / sqrt((n * (n - 1) / 2) * (n * (n - 1) / 2 - ty)), 8) as tau from pa join tt using (status) join nn using (status)"),
-        "wilcoxon_z": Q.query(Q.ND, deltas, wz, select="select n, w_plus, round((w_plus - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48), 8) as z from ww"),
+        "wilcoxon_z": Q.query(Q.ND, deltas, wz, select="select n, w_plus, round(z, 8) as z from wx"),
+        "wilcoxon_p": Q.query(Q.ND, deltas, wz, select=f"select n, round({Q.upper_tail('z')}, 8) as p_greater, round(least(1.0, 2 * {Q.upper_tail('abs(z)')}), 8) as p_two_sided from wx"),
         "stable_core": Q.query(PANEL, select=f"select node from panel where urban_frac > 0.9 group by node having count(distinct year) = {N_YEARS}"),
         "denominator_scenarios": Q.query(*panel_sql, *_scenario_sql(), select="select * from den"),
         "denominator_scenarios_dipole": Q.query(*panel_sql, cold, *_scenario_sql("ev", "cd"), select="select * from den"),
@@ -495,6 +495,7 @@ po as (select cluster, footprint, coalesce(sum(population), 0) as population fro
         "nearest_year": "with y as (select distinct year(o_orderdate)::int as year from orders where year(o_orderdate) % 2 = 0) select w::int as wanted, (select year from y order by abs(year - w), year limit 1) as nearest from (select unnest([1999, 1900, 1996]) as w)",
         "nearest_latitude": "select strftime(date '2000-06-01' + (vec_id // 6 % 150)::int, '%Y-%m-%d') as day, count(*) as n, round(sum(embedding[1]::double * 1000), 3) as z0 from embeddings where vec_id % 2 = 0 and (vec_id // 2) % 3 = 1 group by 1",
         "node_distances": Q.query(Q.NODES, select=f"select x.node, y.node as b, round({h('x.lon', 'x.lat', 'y.lon', 'y.lat')}, 6) as km from nodes x join nodes y on x.node < y.node"),
+        "geodesic_distances": Q.query(Q.NODES, "pq as (select x.node as a, y.node as b, x.lon as lon1, x.lat as lat1, y.lon as lon2, y.lat as lat2 from nodes x join nodes y on x.node < y.node)", Q.geodesic("pq", "gd"), select="select a as node, b, round(km, 6) as km from gd"),
         "poisson_tail": f"with g as (select o::int as obs, (l * 0.75)::double as lam from range(0, 60) a(o), range(1, 40) b(l)) select obs, lam, round({tail}, 9) as p from g",
         "set_ops_nodes": f"with {sets} select 'union' as op, node from (select node from c union select node from s) union all select 'intersect', node from (select node from c intersect select node from s) union all select 'except', node from (select node from c except select node from s) union all select 'union_all', node from (select node from c union all select node from s)",
         "manifest_diff": f"with {sets} select printf('node_%02d.csv', node) as name, 'missing' as status from (select node from c except select node from s) union all select printf('node_%02d.csv', node), 'unlisted' from (select node from s except select node from c)",

@@ -183,6 +183,20 @@ def matched_deltas(spark, sf_dir):
     return R.matched_deltas(marked, R.matched_controls(marked))
 
 
+def matched_deltas_rounded(spark, sf_dir):
+    got = matched_deltas(spark, sf_dir)
+    return got.select("locked_uid", "control_uid", "dur_bin", F.round("delta", 2).alias("delta"))
+
+
+def paired_tests(spark, sf_dir):
+    """The paired summary without its bootstrap: differences to whole units, so that single precision can't move a rank."""
+    d = matched_deltas(spark, sf_dir).withColumn("delta", F.round("delta", 0))
+    test = T.wilcoxon(d)
+    base = d.agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg("delta"), 6).alias("mean_delta"), F.median("delta").alias("median_delta"))
+    both = base.crossJoin(F.broadcast(test))  # a row each
+    return both.select("n_pairs", "mean_delta", "median_delta", F.round("z", 8).alias("z"), F.round("p_greater", 8).alias("p_greater"), F.round("p_two_sided", 8).alias("p_two_sided"))
+
+
 def paired_summary(spark, sf_dir):
     return T.paired_summary(matched_deltas(spark, sf_dir), 800, 101)
 
@@ -279,12 +293,18 @@ def oracles() -> dict[str, str]:
         "fdr_step_up": Q.query(*coh, ranked, select=fdr.format("coalesce(max(case when below then rank end) over (), 0)")),
         "fdr_summary": Q.query(*coh, ranked, f"fk as ({fdr.format('count(*) filter (where below) over ()').replace('select a, b, rank, round(line, 8) as line, round(cutoff, 8) as cutoff,', 'select dist_km, below, m, cutoff,')})", select=f"select count(*) as candidates, max(m)::bigint as tests, {FDR_Q}::double as q, count(*) filter (where below) as retained, round(max(cutoff), 8) as cutoff, count(*) filter (where keep and dist_km > 8000) as retained_long, round(100 * avg((dist_km > 8000)::int::double) filter (where keep), 6) as percent_long, round(median(dist_km) filter (where keep), 6) as median_km from fk"),
         "bundle_reconstruction": Q.query(*coh, select="select c::int as cluster_id, k as \"check\", true as ok, 0::bigint as failures from (select distinct a % 3 as c from e), (select unnest(['edge_count', 'node_count_a', 'node_count_b']) as k)"),
+        "geodesic_edges": Q.query(*coh, "pq as (select a, b, x.lon as lon1, x.lat as lat1, y.lon as lon2, y.lat as lat2 from sc join nodes x on x.node = a join nodes y on y.node = b)", Q.geodesic("pq", "gd"), select="select a, b, round(km, 3) as geodesic_km from gd"),
         "edge_summary": Q.query(*coh, select=f"select {summary} from e"),
         "alpha_sweep": Q.query(*coh, select=f"select alpha::double as alpha, {summary} from e join (select unnest([0.8, 0.9, 0.95]::double[]) as alpha) on p < alpha group by alpha"),
         "setting_sweep": Q.query(Q.NODES, *hot, *sweep, f"al as ({all_settings})", select="select *, round(n_edges::double / (select n_edges from al where setting = 'Primary'), 6) as ratio_to_primary from al"),
         "event_runs": Q.query(Q.ND, Q.events(), run1, select="select node, run_uid, strftime(start_day, '%Y-%m-%d') as start_day, strftime(end_day, '%Y-%m-%d') as end_day, duration, round(intensity_mean, 2) as intensity_mean, round(intensity_max::double, 2) as intensity_max, month, case when duration = 1 then '' else dur_bin end as dur_bin from r"),
         "locked_runs_join": Q.query(*coh, run1, pairs, met.format(6), locked, select="select run_uid from lk"),
         "locked_runs_join_dipole": Q.query(*dip, run1, Q.runs("cd", "rc", 1), "pr as (select distinct a, b from e)", "mt as (select distinct x.run_uid from r x join pr on x.node = pr.a join rc y on y.node = pr.b where x.start_day - 6 <= y.end_day and y.start_day - 6 <= x.end_day)", select="select run_uid from mt"),
+        "locked_runs_sweep": Q.query(*coh, run1, pairs, Q.sweep("r", "r", "lk", 3, True), select="select distinct run_uid from lk"),
+        "locked_runs_sweep_dipole": Q.query(*dip, run1, Q.runs("cd", "rc", 1), "pr as (select distinct a, b from e)", Q.sweep("r", "rc", "lk", 3, False), select="select distinct run_uid from lk"),
+        "matched_controls": Q.query(*coh, run1, pairs, Q.sweep("r", "r", "lk", 1, True), Q.MATCHED, select="select locked_uid, control_uid from dl"),
+        "matched_deltas_rounded": Q.query(*coh, run1, pairs, Q.sweep("r", "r", "lk", 1, True), Q.MATCHED, select="select locked_uid, control_uid, dur_bin, round(delta, 2) as delta from dl"),
+        "paired_tests": Q.query(*coh, run1, pairs, Q.sweep("r", "r", "lk", 1, True), Q.MATCHED, "dr as (select round(delta, 0) as delta from dl)", Q.signed_ranks("dr", "wx"), select=f"select (select count(*) from dr) as n_pairs, (select round(avg(delta), 6) from dr) as mean_delta, (select median(delta) from dr) as median_delta, round(z, 8) as z, round({Q.upper_tail('z')}, 8) as p_greater, round(least(1.0, 2 * {Q.upper_tail('abs(z)')}), 8) as p_two_sided from wx"),
         "raw_lock_summary": Q.query(*coh, run1, pairs, met.format(2), locked, "mk as (select r.*, run_uid in (select run_uid from lk) as is_locked from r)", select="select count(*) as n_runs, count(*) filter (where is_locked) as n_locked, round(avg(is_locked::int::double), 6) as locked_fraction, round(avg(intensity_mean) filter (where is_locked), 4) as locked_mean, round(avg(intensity_mean) filter (where not is_locked), 4) as free_mean, round(avg(intensity_mean) filter (where is_locked) - avg(intensity_mean) filter (where not is_locked), 4) as mean_delta from mk"),
         "daily_signal": Q.query(*coh, side, signal, select="select cluster, side, strftime(day, '%Y-%m-%d') as day, n, round(signal, 8) as signal from sg"),
         "synchronized_dates": Q.query(*coh, side, signal, sync, select="select cluster, strftime(day, '%Y-%m-%d') as day from sy"),
@@ -295,6 +315,6 @@ def oracles() -> dict[str, str]:
 QUERIES = {f.__name__: f for f in (
     valid_nodes, test_counts, pair_overlap, pair_observed, pair_observed_dipole, pair_counts_blocked, pair_counts_blocked_dipole, pair_scores,
     pair_scores_dipole, coherent_edges, dipole_edges, fdr_screen, fdr_step_up, fdr_summary, edge_summary, alpha_sweep, setting_sweep, event_runs, locked_runs_join,
-    locked_runs_join_dipole, locked_runs_sweep, locked_runs_sweep_dipole, raw_lock_summary, matched_controls, matched_deltas, paired_summary,
+    locked_runs_join_dipole, locked_runs_sweep, locked_runs_sweep_dipole, raw_lock_summary, matched_controls, matched_deltas_rounded, paired_tests, paired_summary,
     stratified_summary, daily_signal, synchronized_dates, bundle_summary, bundle_reconstruction, cluster_bundles, geodesic_edges, edge_sample,
 )}

@@ -107,5 +107,79 @@ def runs(src: str, out: str, least: int = 2) -> str:
     from {out}_i)"""
 
 
+def sweep(runs_: str, other: str, out: str, k: int, both: bool) -> str:
+    """CTEs up to {out}: run_uid of runs that the two-pointer sweep over the pairs of pr locks, state by state."""
+    indexed = "select node, run_uid, (start_day - date '1970-01-01')::int as s, (end_day - date '1970-01-01')::int as e, row_number() over (partition by node order by start_day, run_uid) as k from {}"
+    meet = f"x.s - {k} <= y.e + {k} and y.s - {k} <= x.e + {k}"
+    second = f" union select y.run_uid from {out}_s join {out}_x x on x.node = a and x.k = i join {out}_y y on y.node = b and y.k = j where {meet}" if both else ""
+    return f"""{out}_x as ({indexed.format(runs_)}),
+{out}_y as ({indexed.format(other)}),
+{out}_s(a, b, i, j) as (
+    select a, b, 1::bigint, 1::bigint from pr
+    union all
+    select a, b, case when ({meet} and x.e <= y.e) or (not ({meet}) and x.s < y.s) then i + 1 else i end,
+           case when ({meet} and x.e <= y.e) or (not ({meet}) and x.s < y.s) then j else j + 1 end
+    from {out}_s join {out}_x x on x.node = a and x.k = i join {out}_y y on y.node = b and y.k = j),
+{out} as (select x.run_uid from {out}_s join {out}_x x on x.node = a and x.k = i join {out}_y y on y.node = b and y.k = j where {meet}{second})"""
+
+
+MATCHED = """mk as (
+    select run_uid, node, month, case when duration = 1 then '1' else dur_bin end as bin, (start_day - date '1970-01-01')::int as s, intensity_mean,
+           run_uid in (select run_uid from lk) as is_locked from r),
+lo as (select *, row_number() over (partition by node, month, bin order by s, run_uid) as t from mk where is_locked),
+ct as (select node, month, bin, list({'s': s, 'u': run_uid} order by s, run_uid) as free from mk where not is_locked group by 1, 2, 3),
+mt(node, month, bin, t, free, locked_uid, control_uid) as (
+    select node, month, bin, 0::bigint, free, null::bigint, null::bigint from ct
+    union all
+    select node, month, bin, t, list_filter(free, lambda x: x.u <> best.u), run_uid, best.u
+    from (select m.node, m.month, m.bin, lo.t, m.free, lo.run_uid, list_sort(list_transform(m.free, lambda x: {'d': abs(x.s - lo.s), 's': x.s, 'u': x.u}))[1] as best
+          from mt m join lo on lo.node = m.node and lo.month = m.month and lo.bin = m.bin and lo.t = m.t + 1 where len(m.free) > 0)),
+dl as (
+    select locked_uid, control_uid, a.bin as dur_bin, a.intensity_mean as locked_intensity_mean, b.intensity_mean as control_intensity_mean,
+           a.intensity_mean - b.intensity_mean as delta
+    from mt join mk a on a.run_uid = locked_uid join mk b on b.run_uid = control_uid)"""
+
+
+def upper_tail(z: str) -> str:
+    """P(Z >= z) of the normal distribution by Simpson's rule on [0, z]."""
+    f = f"(case when i in (0, 1000) then 1 when i % 2 = 1 then 4 else 2 end) * exp(-pow(i * ({z}) / 1000, 2) / 2)"
+    return f"(0.5 - ({z}) / 3000 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 1001), lambda i: {f})))"
+
+
+def signed_ranks(src: str, out: str) -> str:
+    """CTEs up to {out}: n, w_plus and z of the non-zero delta in src."""
+    return f"""{out}_k as (select abs(delta) as a, count(*) as t, count(*) filter (where delta > 0) as plus from {src} where delta <> 0 group by 1),
+{out}_r as (select *, coalesce(sum(t) over (order by a rows between unbounded preceding and 1 preceding), 0) + (t + 1) / 2.0 as rank from {out}_k),
+{out}_w as (select sum(t)::bigint as n, sum(plus * rank)::double as w_plus, sum(t * t * t - t)::double as ties from {out}_r),
+{out} as (select n, w_plus, (w_plus - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48) as z from {out}_w)"""
+
+
+# The trigonometry of one turn of Vincenty's iteration, from u1, u2 (reduced latitudes), lam and wide (longitude difference).
+_TURN = """select *, atan2(ss, cs) as sigma, case when ss > 0 then cos(u1) * cos(u2) * sin(lam) / ss else 0 end as sa
+    from (select *, sqrt(pow(cos(u2) * sin(lam), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam), 2)) as ss,
+                 sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) as cs from {src})"""
+
+
+def geodesic(src: str, out: str, turns: int = 60) -> str:
+    """CTEs up to {out}: src (a, b, lon1, lat1, lon2, lat2) with km, the WGS84 geodesic of pairs that aren't nearly antipodal."""
+    f = "(1 / 298.257223563)"
+    middle = f"select *, case when 1 - sa * sa > 1e-15 then cs - 2 * sin(u1) * sin(u2) / (1 - sa * sa) else 0 end as cm, {f} / 16 * (1 - sa * sa) * (4 + {f} * (4 - 3 * (1 - sa * sa))) as c from ({{}})"
+    step = middle.format(_TURN.format(src=f"{out}_i where turn < {turns}"))
+    last = middle.format(_TURN.format(src=f"{out}_i where turn = {turns}"))
+    return f"""{out}_u as (
+    select *, atan((1 - {f}) * tan(radians(lat1))) as u1, atan((1 - {f}) * tan(radians(lat2))) as u2,
+           radians(lon2 - lon1) - 2 * pi() * round((lon2 - lon1) / 360) as wide from {src}),
+{out}_i(a, b, u1, u2, wide, lam, turn) as (
+    select a, b, u1, u2, wide, wide, 0 from {out}_u
+    union all
+    select a, b, u1, u2, wide, wide + (1 - c) * {f} * sa * (sigma + c * ss * (cm + c * cs * (2 * cm * cm - 1))), turn + 1 from ({step})),
+{out}_k as (
+    select *, k / 1024 * (256 + k * (-128 + k * (74 - 47 * k))) as small, 1 + k / 16384 * (4096 + k * (-768 + k * (320 - 175 * k))) as big
+    from (select *, (1 - sa * sa) * (1 / pow(1 - {f}, 2) - 1) as k from ({last}))),
+{out} as (
+    select a, b, 6378.137 * (1 - {f}) * big * (sigma - small * ss * (cm + small / 4 * (cs * (2 * cm * cm - 1) - small / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))) as km
+    from {out}_k)"""
+
+
 def query(*ctes: str, select: str) -> str:
-    return "with " + ",\n".join(ctes) + "\n" + select
+    return "with recursive " + ",\n".join(ctes) + "\n" + select
