@@ -98,6 +98,11 @@ def event_days(days: DataFrame, config: EventConfig = EventConfig()) -> DataFram
     return run_flags(event_flags(season, thresholds, config.kind), config.min_run, config.run_mode)
 
 
+def clip_days(days: DataFrame, first: str, last: str, day: str = "day") -> DataFrame:
+    """Rows from the first to the last day of the study, both inclusive."""
+    return days.where(F.col(day).between(F.to_date(F.lit(first)), F.to_date(F.lit(last))))
+
+
 def first_of_day(events: DataFrame) -> DataFrame:
     """One row per node and day: the one of the smallest year."""
     first = F.row_number().over(Window.partitionBy("node", "day").orderBy("year"))

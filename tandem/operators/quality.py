@@ -63,6 +63,15 @@ def manifest_difference(listed: DataFrame, found: DataFrame, name: str = "name")
     return missing.unionByName(extra)
 
 
+def hygiene(files: DataFrame, forbidden: list[str], most_bytes: int) -> DataFrame:
+    """(name, problem) of files (name, bytes) that are too large or whose names hold a forbidden token."""
+    token = F.lit(False)
+    for t in forbidden:
+        token = token | F.contains(F.lower("name"), F.lit(t.lower()))
+    problem = F.when(F.col("bytes") > most_bytes, "too large").when(token, "forbidden name")
+    return files.select("name", problem.alias("problem")).where("problem is not null")
+
+
 def same_set(left: DataFrame, right: DataFrame) -> DataFrame:
     """(same): whether two tables hold the same distinct rows."""
     only = left.distinct().exceptAll(right.distinct()).unionByName(right.distinct().exceptAll(left.distinct()))

@@ -55,13 +55,14 @@ def _passing(counts: DataFrame, sizes: DataFrame, yearly: DataFrame, threshold:
     each = joined.withColumn("s", F.explode(table)).select("*", "s.*").drop("s")
     denominator = F.when(F.col("mode") == "fixed", F.col("size")).when(F.col("mode") == "active", F.col("active_count")).otherwise(urban).cast("double")
     covered = F.when(F.col("mode") == "annual_urban_active", urban).otherwise(F.col("active_count")) / F.greatest(F.col("size"), F.lit(1))
-    return each.withColumn("signal", S.safe_ratio(F.col("event_count"), denominator)).where((covered >= F.col("coverage")) & (F.col("signal") > threshold))
+    return each.withColumn("signal", S.safe_ratio(F.col("event_count"), denominator)).withColumn("fraction", covered).where((F.col("fraction") >= F.col("coverage")) & (F.col("signal") > threshold))
 
 
-def denominator_scenarios(events: DataFrame, sides: DataFrame, panel: DataFrame, n_years: int, threshold: float = 0.05, scenarios: tuple[Scenario, ...] = SCENARIOS, cold: DataFrame | None = None) -> DataFrame:
-    """(scenario, cluster, year, n): synchronised days under each scenario, counted from one pass per node set.
+def denominator_dates(events: DataFrame, sides: DataFrame, panel: DataFrame, n_years: int, threshold: float = 0.05, scenarios: tuple[Scenario, ...] = SCENARIOS, cold: DataFrame | None = None) -> DataFrame:
+    """(scenario, cluster, day, year) of synchronised days, with both sides' signal and active fraction (_a, _b).
 
-    Days are grouped by day and year and sides joined on the day alone, so a day that two years hold counts for both.
+    Each node set (all nodes, stable core) is counted in one pass for all its scenarios. Days are grouped by day and year
+    and sides joined on the day alone, so a day that two years hold counts for both.
     """
     out = None
     core = stable_core(panel, n_years)
@@ -73,13 +74,32 @@ def denominator_scenarios(events: DataFrame, sides: DataFrame, panel: DataFrame,
         counts = daily_counts(events, own) if cold is None else daily_counts(events, own.where("side = 'side_a'")).unionByName(daily_counts(cold, own.where("side = 'side_b'")))
         sizes = own.groupBy("cluster", "side").agg(F.count_distinct("node").alias("size"))
         passing = _passing(counts, sizes, annual_active(panel, own), threshold, some)
-        a = passing.where("side = 'side_a'").select("scenario", "cluster", "day", "year")
-        b = passing.where("side = 'side_b'").select("scenario", "cluster", "day")
-        part = a.join(b, ["scenario", "cluster", "day"]).groupBy("scenario", "cluster", "year").agg(F.count(F.lit(1)).alias("n"))
+        side = lambda x, *more: passing.where(F.col("side") == f"side_{x}").select("scenario", "cluster", "day", *more, F.col("signal").alias(f"signal_{x}"), F.col("fraction").alias(f"fraction_{x}"))  # noqa: B023, E731
+        part = side("a", "year").join(side("b"), ["scenario", "cluster", "day"])
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def denominator_scenarios(events: DataFrame, sides: DataFrame, panel: DataFrame, n_years: int, threshold: float = 0.05, scenarios: tuple[Scenario, ...] = SCENARIOS, cold: DataFrame | None = None) -> DataFrame:
+    """(scenario, cluster, year, n): synchronised days under each scenario."""
+    dates = denominator_dates(events, sides, panel, n_years, threshold, scenarios, cold)
+    return dates.groupBy("scenario", "cluster", "year").agg(F.count(F.lit(1)).alias("n"))
+
+
+def scenario_bundles(dates: DataFrame, sides: DataFrame, scenarios: tuple[Scenario, ...] = SCENARIOS) -> DataFrame:
+    """(scenario, cluster): nodes of both sides, dates, the first and last of them, and median active fractions on them.
+
+    Every scenario has every bundle; without a date, counts are 0, texts empty and medians NULL.
+    """
+    names = F.explode(F.array(*[F.lit(s.name) for s in scenarios])).alias("scenario")
+    nodes = sides.groupBy("cluster").agg(*[F.count_distinct(F.when(F.col("side") == f"side_{x}", F.col("node"))).alias(f"nodes_{x}") for x in "ab"]).select("*", names)
+    got = dates.groupBy("scenario", "cluster").agg(
+        F.count(F.lit(1)).alias("date_count"), S.day_text(F.min("day")).alias("first_date"), S.day_text(F.max("day")).alias("last_date"),
+        F.median("fraction_a").alias("median_fraction_a"), F.median("fraction_b").alias("median_fraction_b"),
+    )
+    return nodes.join(got, ["scenario", "cluster"], "left").fillna({"date_count": 0, "first_date": "", "last_date": ""})
+
+
 def against_primary(summary: DataFrame, by: list[str], setting: str = "setting", primary: str = "Primary", value: str = "n_edges") -> DataFrame:
     """summary with ratio_to_primary: the value over the primary setting's of the same group; NULL without one."""
     reference = F.max(F.when(F.col(setting) == primary, F.col(value))).over(Window.partitionBy(*by))

@@ -87,6 +87,12 @@ def denominator_scenarios_dipole(spark, sf_dir):
     return V.denominator_scenarios(hot_days(spark, sf_dir), bundle_sides(spark, sf_dir), _broad_panel(spark, sf_dir), N_YEARS, THRESHOLD, cold=cold_days(spark, sf_dir))
 
 
+def scenario_bundles(spark, sf_dir):
+    dates = V.denominator_dates(hot_days(spark, sf_dir), bundle_sides(spark, sf_dir), _broad_panel(spark, sf_dir), N_YEARS, THRESHOLD)
+    got = V.scenario_bundles(dates, bundle_sides(spark, sf_dir))
+    return got.withColumns({c: F.round(c, 8) for c in ("median_fraction_a", "median_fraction_b")})
+
+
 def scenario_trends(spark, sf_dir):
     """Theil–Sen slopes of each scenario's yearly totals, with 0 in years without a day."""
     got = denominator_scenarios(spark, sf_dir).groupBy("scenario", "year").agg(F.sum("n").alias("n"))
@@ -472,6 +478,7 @@ po as (select cluster, footprint, coalesce(sum(population), 0) as population fro
         "stable_core": Q.query(PANEL, select=f"select node from panel where urban_frac > 0.9 group by node having count(distinct year) = {N_YEARS}"),
         "denominator_scenarios": Q.query(*panel_sql, *_scenario_sql(), select="select * from den"),
         "denominator_scenarios_dipole": Q.query(*panel_sql, cold, *_scenario_sql("ev", "cd"), select="select * from den"),
+        "scenario_bundles": Q.query(*panel_sql, *_scenario_sql(), "dd as (select x.scenario, x.cluster, x.day, x.covered as fa, y.covered as fb from ok x join ok y on x.scenario = y.scenario and x.cluster = y.cluster and x.day = y.day where x.side = 'side_a' and y.side = 'side_b')", "nn as (select cluster, count(*) filter (where side = 'side_a') as nodes_a, count(*) filter (where side = 'side_b') as nodes_b from sd group by 1)", select="select s.scenario, nn.cluster, nodes_a, nodes_b, count(d.day) as date_count, coalesce(strftime(min(d.day), '%Y-%m-%d'), '') as first_date, coalesce(strftime(max(d.day), '%Y-%m-%d'), '') as last_date, round(median(fa), 8) as median_fraction_a, round(median(fb), 8) as median_fraction_b from sc s cross join nn left join dd d on d.scenario = s.scenario and d.cluster = nn.cluster group by 1, 2, 3, 4"),
         "scenario_trends": Q.query(*panel_sql, *_scenario_sql(), f"se as (select t.scenario, y::double as x, coalesce(sum(n), 0)::double as y from (select scenario, y from sc, range({YEARS[0]}, {YEARS[1] + 1}) q(y)) t left join den on den.scenario = t.scenario and den.year = t.y group by t.scenario, t.y)", _sens("se", "scenario"), select="select scenario, round(slope, 6) as slope, round(intercept, 6) as intercept from ts"),
         "circular_surrogates": Q.query(*hot, SIDES, sur, select="select draw::int as draw, cluster, year, n from st"),
         "surrogate_summary": Q.query(*hot, SIDES, sur, signal, sync, "ob as (select cluster, count(*)::double as observed from sy group by 1), dw as (select draw, cluster, sum(n)::double as value from st group by 1, 2)", select="select cluster, max(observed) as observed, round(avg(value), 8) as surrogate_mean, round(quantile_cont(value, 0.95), 8) as surrogate_p95, round(quantile_cont(value, 0.99), 8) as surrogate_p99, round((count(*) filter (where value >= observed) + 1)::double / (count(*) + 1), 8) as empirical_p from dw join ob using (cluster) group by cluster"),
@@ -511,7 +518,7 @@ po as (select cluster, footprint, coalesce(sum(population), 0) as population fro
 
 
 QUERIES = {f.__name__: f for f in (
-    theil_sen, kendall_tau, trend_summary, wilcoxon_z, wilcoxon_p, stable_core, denominator_scenarios, denominator_scenarios_dipole, scenario_trends,
+    theil_sen, kendall_tau, trend_summary, wilcoxon_z, wilcoxon_p, stable_core, denominator_scenarios, denominator_scenarios_dipole, scenario_bundles, scenario_trends,
     circular_surrogates, hashed_surrogates, surrogate_summary, composite_anomaly, bandpass_dft, bandpass_fft, lag_correlation, lag_correlation_drift,
     wave_diagnostics, nearest_days, footprint_sizes, exposure_person_nights, annual_person_nights, nearest_primary, geography_summary, humidity_wetbulb,
     region_case, bundle_labels, nearest_year, nearest_latitude, bundle_wave_diagnostics, cell_bounds, tag_names, node_distances, geodesic_distances, poisson_tail, set_ops_nodes, manifest_diff, set_equality, quality_checks,

@@ -147,7 +147,7 @@ def node_dimension(spark, sf_dir):
 
 
 def study_days(spark, sf_dir):
-    got = node_days(spark, sf_dir).where(F.col("year") >= 2000).groupBy("day").agg(F.count(F.lit(1)).alias("nodes"))
+    got = E.clip_days(node_days(spark, sf_dir), "2000-01-01", "2024-12-31").groupBy("day").agg(F.count(F.lit(1)).alias("nodes"))
     return got.select(S.study_day(F.col("day")).alias("pos"), S.day_text(F.col("day")).alias("day"), "nodes")
 
 

@@ -112,6 +112,11 @@ def test_checks(spark):
     assert (diff["rows"], diff["mismatches"], diff["max_abs_diff"]) == (2, 1, 0.5)
 
 
+def test_hygiene(spark):
+    files = spark.createDataFrame([("a.csv", 10), ("Draft_b.csv", 10), ("c.csv", 10**9)], "name string, bytes long")
+    assert {tuple(r) for r in D.hygiene(files, ["draft"], 10**8).collect()} == {("Draft_b.csv", "forbidden name"), ("c.csv", "too large")}
+
+
 def test_yearly_scans_and_sinks(spark, tmp_path):
     root = str(tmp_path)
     for y in (2000, 2002):
