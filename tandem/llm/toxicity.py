@@ -37,16 +37,20 @@ def features(word: str) -> tuple[str, ...]:
 
 @dataclass
 class Model:
-    """weights by feature; words caches the sum over a word's features."""
+    """weights by feature; words caches the sum over a word's features, full and heads what a word with weight looks like."""
 
     weights: dict[str, float]
     bias: float = BACKGROUND
     words: dict[str, float] = field(default_factory=dict, repr=False)
 
+    def __post_init__(self):
+        self.full = {f for f in self.weights if not f.endswith("*")}
+        self.heads = {f[:4] for f in self.weights if f.endswith("*")}
+
     def word(self, w: str) -> float:
         got = self.words.get(w)
         if got is None:
-            if len(self.words) > 500_000:
+            if len(self.words) > 50_000:
                 self.words.clear()
             got = self.words[w] = sum(self.weights.get(f, 0.0) for f in features(w))
         return got
@@ -62,8 +66,12 @@ class Model:
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
         """Noisy-or over all sentences of a text; one without evidence has the background rate."""
-        found = self.sentences(text)
-        n = max(1, len(_SENTENCE.findall(text or "")))
+        text = text or ""
+        words = set(_TOKEN.findall(text.lower()))
+        # Most texts hold no word with weight and are not cut up.
+        none = self.full.isdisjoint(words) and self.heads.isdisjoint({w[:4] for w in words})
+        found = [] if none else self.sentences(text)
+        n = max(1, len(_SENTENCE.findall(text)))
         clean = -float(np.logaddexp(0, self.bias)) * (n - len(found)) - sum(float(np.logaddexp(0, s)) for *_, s in found)
         return float(-np.expm1(clean)), found
 
