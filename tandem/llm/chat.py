@@ -71,15 +71,13 @@ def mask(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) ->
 
 def learned_text(formatted: str, starts, ends, loss) -> str:
     """The text under a loss mask, unescaped run by run; tokens that share a character count it once."""
-    out, run, at = [], [], 0
-    for a, b, on in zip(starts, ends, loss):
-        if on and b > at:
-            run.append(formatted[max(a, at) : b])
-            at = b
-        elif not on and run:
-            out.append(unescape("".join(run)))
-            run = []
-    return "".join(out) + unescape("".join(run))
+    on = np.flatnonzero(loss)
+    if not len(on):
+        return ""
+    a, reach = np.asarray(starts)[on], np.maximum.accumulate(np.asarray(ends)[on])
+    first = np.flatnonzero(np.r_[True, (on[1:] != on[:-1] + 1) | (a[1:] > reach[:-1])])
+    last = np.r_[first[1:], len(on)] - 1
+    return "".join([unescape(formatted[i:j]) for i, j in zip(a[first].tolist(), reach[last].tolist())])
 
 
 _OUT = "conv_id long, n_turns long, formatted string, ids array<int>, starts array<int>, ends array<int>, loss_mask array<boolean>"
@@ -131,10 +129,17 @@ def format_conversations(turns: DataFrame, tokenizer: str = TOKENIZER) -> DataFr
 _DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    at = column.offsets.to_numpy()
+    values = column.values.to_numpy(zero_copy_only=False)
+    return [values[i:j] for i, j in zip(at[:-1], at[1:])]
+
+
 def _digests(batches):
     for b in batches:
         rows = []
-        for conv, text, starts, ends, loss in zip(*(b.column(c).to_pylist() for c in ("conv_id", "formatted", "starts", "ends", "loss_mask"))):
+        arrays = [_lists(b.column(c)) for c in ("starts", "ends", "loss_mask")]
+        for conv, text, starts, ends, loss in zip(b.column("conv_id").to_pylist(), b.column("formatted").to_pylist(), *arrays):
             turns, learned = parse(text), learned_text(text, starts, ends, loss)
             said = "".join(f"{role}\n{body}\n" for role, body in turns)
             rows.append((conv, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(learned), hashlib.sha256(learned.encode()).hexdigest(), len(text)))
