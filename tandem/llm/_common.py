@@ -26,6 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="tandem-scratch-")
@@ -55,6 +58,22 @@ def lookup(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df.hint("shuffle_hash")
 
 
+def join_lookup(left: DataFrame, right: DataFrame, keys: list[str], rows: int, spread: str, how: str = "inner", limit: int | None = None) -> DataFrame:
+    """left joined with a lookup table on keys (nulls match): broadcast if its counted rows are within limit.
+
+    Beyond, both sides are dealt out by keys and a salt from the column `spread`, so a key that holds a third of left
+    meets 64 copies of its one lookup row in as many tasks, whatever is done by key afterwards.
+    """
+    named = right.withColumnsRenamed({k: f"_jl_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_jl_{k}")) for k in keys]
+    if rows <= (BROADCAST_ROWS if limit is None else limit):
+        out = left.join(F.broadcast(named), on, how)
+    else:
+        salted = named.withColumn("_jl_salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
+        out = left.withColumn("_jl_own", F.pmod(F.xxhash64(spread), F.lit(64)).cast("int")).join(salted, [*on, F.col("_jl_own") == F.col("_jl_salt")], how)
+    return out.drop(*[f"_jl_{k}" for k in keys], "_jl_own", "_jl_salt")
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only. lower() does just that on pure ASCII, and is faster than translate()."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

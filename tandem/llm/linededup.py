@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, lookup, staged, table, text_of
+from ._common import ascii_lower, join_lookup, lookup, staged, table, text_of
 
 SPACE = "\x20\t\n\x0b\x0c\r"
 KEY_CHARS, MIN_DOCS = 40, 5
@@ -34,10 +34,10 @@ def dropped_positions(docs: DataFrame, key_chars: int = KEY_CHARS, min_docs: int
     hashed = staged(line_hashes(docs, key_chars), "lines-hashed")
     often = staged(hashed.groupBy("h1", "h2").count().where(F.col("count") >= min_docs).select("h1", "h2"), "lines-often")
     n = often.count()
-    held = hashed.join(lookup(often, n), ["h1", "h2"], "left_semi").select("h1", "h2", "doc_id").distinct()
+    held = join_lookup(hashed, often, ["h1", "h2"], n, "doc_id", "left_semi").select("h1", "h2", "doc_id").distinct()
     shared = held.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("keeper")).where(F.col("docs") >= min_docs)
     shared = staged(shared.select("h1", "h2", "keeper"), "lines-shared")
-    return hashed.join(lookup(shared, shared.count()), ["h1", "h2"]).where("doc_id <> keeper").select("doc_id", "version", "pos").distinct()
+    return join_lookup(hashed, shared, ["h1", "h2"], shared.count(), "doc_id").where("doc_id <> keeper").select("doc_id", "version", "pos").distinct()
 
 
 def dedup_lines(docs: DataFrame, key_chars: int = KEY_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ._common import WORD, lookup, staged, table, text_of
+from ._common import WORD, join_lookup, staged, table, text_of
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST_REPEATS = 3
@@ -104,9 +104,8 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(found))])
     block = min(MOST_BLOCK, max(LEAST_BLOCK, sum(sizes) // (BLOCK_SHARE * max(1, len(found)))))
     of_source = [(r["source"], r["size"], t, min(MOST_SHARDS, -(-r["docs"] // SHARD_DOCS))) for r, t in zip(found, goal)]
-    schema = T.StructType([T.StructField("_source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("shards", T.LongType())])
-    sources = lookup(spark.createDataFrame(of_source, schema), len(found))
-    dealt = sized.join(sources, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("shards", T.LongType())])
+    dealt = join_lookup(sized, spark.createDataFrame(of_source, schema), ["source"], len(found), "version")
     dealt = dealt.withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "version")).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "version"), "shards"))
     cells = dealt.groupBy("source", "shard").agg(F.sum("size").alias("size")).collect()  # at most MOST_SHARDS rows a source
     cells.sort(key=lambda r: (r["source"] is None, r["source"] or "", r["shard"]))
@@ -116,10 +115,10 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED
     quota = sainte_lague(votes, round(sum(votes)), [MOST_REPEATS * n for n in blocks])
     rng = np.random.default_rng(seed)
     rows = [(r["source"], r["shard"], q // max(1, n), q % max(1, n), max(1, n), _stride(max(1, n)), int(rng.integers(max(1, n))), r["size"]) for r, n, q in zip(cells, blocks, quota)]
-    fields = [T.StructField("_source", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("_shard", "repeats", "extra", "blocks", "stride", "offset", "words")]]
-    quotas = lookup(spark.createDataFrame(rows, T.StructType(fields)), len(rows))
+    fields = [T.StructField("source", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("shard", "repeats", "extra", "blocks", "stride", "offset", "words")]]
+    quotas = spark.createDataFrame(rows, T.StructType(fields))
     placed = dealt.withColumn("begin", F.coalesce(F.sum("size").over(Window.partitionBy("source", "shard").orderBy("order", "doc_id", "version").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = placed.join(quotas, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard"))).drop("_source", "_shard")
+    placed = join_lookup(placed, quotas, ["source", "shard"], len(rows), "version")
     return placed.drop("order", "shard", "shards")
 
 

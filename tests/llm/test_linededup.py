@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tandem.llm import linededup
+from tandem.llm import _common, linededup
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -31,6 +31,7 @@ def got(frame, **kw):
 @pytest.mark.parametrize("limit", [500_000, 0])
 def test_against_a_plain_version(spark, docs, monkeypatch, limit):
     monkeypatch.setattr(linededup, "BROADCAST_POSITIONS", limit)
+    monkeypatch.setattr(_common, "BROADCAST_ROWS", limit)
     rng = random.Random(8)
     lines = ["L%d %s" % (i, "abcÉé" * rng.randint(1, 12)) for i in range(30)] + ["", " ", "x", "  PADDED " + "Q" * 45 + "\t\r", "padded " + "q" * 45, "\x0b" + "e" * 40, "é" * 40, "😀" * 39]
     rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 25)))) for i in range(60)]

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tandem.llm import mixing
+from tandem.llm import _common, mixing
 
 from .conftest import words
 
@@ -43,7 +43,9 @@ def corpus(seed=3):
     return rows + [(900, None, "a"), (901, "  \n", "a"), (902, words(rng, 6000), "b"), (903, "one", "tiny"), (None, "no id here", "a"), (7, rows[7][1], rows[7][2])]
 
 
-def test_plan_meets_targets_and_reruns_agree(spark, docs):
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_plan_meets_targets_and_reruns_agree(spark, docs, monkeypatch, limit):
+    monkeypatch.setattr(_common, "BROADCAST_ROWS", limit)
     frame = docs(corpus()).withColumn("size", F.lit("clash")).withColumn("target", F.lit(0)).withColumn("block", F.lit(1))
     found = mixing.plan(frame).withColumn("taken", mixing.taken())
     rows = sorted((tuple(r) for r in found.collect()), key=str)

@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tandem.llm import secrets
+from tandem.llm import _common, secrets
 
 PATTERNS = {
     "assign": (r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
@@ -33,7 +33,9 @@ def test_spans_match_plain_regular_expressions(spark, docs):
         assert set(got[i]["base_spans"].split(",")) <= set(got[i]["spans"].split(",")) | {""}
 
 
-def test_each_blob_is_scanned_once_and_found_on_all_paths(spark, docs):
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_each_blob_is_scanned_once_and_found_on_all_paths(spark, docs, monkeypatch, limit):
+    monkeypatch.setattr(_common.lookup, "__defaults__", (limit,))
     secret = "token=" + "z" * 12
     frame = docs([(1, secret), (2, secret), (3, secret), (3, secret), (None, secret), (None, "AKIA" + "A" * 20), (None, "AKIA" + "A" * 20), (4, "plain")])
     ledger = secrets.update(frame.withColumn("blob", F.lit("clash")).withColumn("rule", F.lit(0)))
