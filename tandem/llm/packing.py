@@ -7,6 +7,7 @@ each into the first bin that has room, which a tree of maxima over the bins' fre
 
 from __future__ import annotations
 
+import base64
 import zlib
 from functools import cache
 
@@ -16,7 +17,6 @@ import public_tokenizers
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from ._common import staged, table
 
@@ -28,25 +28,28 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 @cache
-def _encoders(tokenizer: str, ranks: str):
-    import base64
-
+def _fast(ranks: str) -> tiktoken.Encoding:
     with open(ranks, "rb") as f:
         table_ = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table_, special_tokens={})
-    return Tokenizer.from_file(tokenizer), fast
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table_, special_tokens={})
+
+
+@cache
+def _full(tokenizer: str):
+    from tokenizers import Tokenizer  # loaded by the workers that meet a text for it
+
+    return Tokenizer.from_file(tokenizer)
 
 
 def encode(text: str, tokenizer: str = TOKENIZER, ranks: str = RANKS) -> list[int]:
     """The tokenizer's ids. Latin-1 texts without its special string go through the same vocabulary's faster encoder."""
-    full, fast = _encoders(tokenizer, ranks)
     if "<|endoftext|>" not in text:
         try:
             text.encode("latin-1")
-            return fast.encode_ordinary(text)
+            return _fast(ranks).encode_ordinary(text)
         except UnicodeEncodeError:
             pass
-    return full.encode(text, add_special_tokens=False).ids
+    return _full(tokenizer).encode(text, add_special_tokens=False).ids
 
 
 class Bins:
