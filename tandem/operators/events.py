@@ -69,10 +69,20 @@ def smoothed_thresholds(raw: DataFrame, rows: int = 15, digits: int = 7) -> Data
 
 
 def event_flags(days: DataFrame, thresholds: DataFrame, kind: str = "hot") -> DataFrame:
-    """days with thr_raw, thr and evt; a missing value or threshold is no event."""
+    """days with thr_raw, thr and evt; a missing value or threshold is no event.
+
+    A node's thresholds travel as one array by day of year, so days are dealt out by node alone: the run windows that
+    follow need no further exchange.
+    """
+    entry = F.struct("thr_raw", "thr")
+    by_doy = F.map_from_entries(F.collect_list(F.struct("doy", entry)))
+    dense = F.transform(F.sequence(F.lit(1), F.lit(366)), lambda d: F.try_element_at(F.col("_map"), d))
+    per_node = thresholds.groupBy("node").agg(by_doy.alias("_map")).select("node", dense.alias("_thr"))
+    joined = days.join(per_node, "node", "left").withColumn("_t", F.try_element_at("_thr", F.col("doy"))).drop("_thr")
+    joined = joined.withColumn("thr_raw", F.col("_t.thr_raw")).withColumn("thr", F.col("_t.thr")).drop("_t")
     value = S.as_null(F.col("value"))
     beyond = value >= F.col("thr") if kind == "hot" else value <= F.col("thr")
-    return days.join(thresholds, ["node", "doy"], "left").withColumn("evt", F.coalesce(beyond, F.lit(False)).cast("int"))
+    return joined.withColumn("evt", F.coalesce(beyond, F.lit(False)).cast("int"))
 
 
 def run_flags(flags: DataFrame, length: int, mode: str = "row", flag: str = "evt", out: str = "evt_run") -> DataFrame:
@@ -81,14 +91,17 @@ def run_flags(flags: DataFrame, length: int, mode: str = "row", flag: str = "evt
     mode "row" counts adjacent rows, so a run may go on over a gap between seasons; "calendar" starts anew after a gap.
     """
     order = Window.partitionBy("node").orderBy("day")
-    stop = F.col(flag) != 1
+    on = F.coalesce(F.col(flag) == 1, F.lit(False))
+    numbered = flags.withColumn("_row", F.row_number().over(order))
+    before = F.when(~on, F.col("_row"))  # the row before a run starts
     if mode == "calendar":
-        stop = stop | F.coalesce(F.datediff("day", F.lag("day").over(order)) != 1, F.lit(True))
+        numbered = numbered.withColumn("_gap", F.coalesce(F.datediff("day", F.lag("day").over(order)) != 1, F.lit(True)))
+        before = before.when(F.col("_gap"), F.col("_row") - 1)
     elif mode != "row":
         raise ValueError(f"unknown mode: {mode}")
-    numbered = flags.withColumn("_stop", stop.cast("int")).withColumn("_grp", F.sum("_stop").over(order))
-    place = F.sum(flag).over(Window.partitionBy("node", "_grp").orderBy("day").rowsBetween(Window.unboundedPreceding, 0))
-    return numbered.withColumn(out, ((F.col(flag) == 1) & (place >= length)).cast("int")).drop("_stop", "_grp")
+    # A row's place in its run is its distance from the last such row: one sort by node and day serves all of it.
+    place = F.col("_row") - F.coalesce(F.max(before).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    return numbered.withColumn(out, (on & (place >= length)).cast("int")).drop("_row", "_gap")
 
 
 def event_days(days: DataFrame, config: EventConfig = EventConfig()) -> DataFrame:

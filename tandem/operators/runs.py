@@ -23,7 +23,7 @@ def event_runs(events: DataFrame, min_duration: int = 2, flag: str = "evt_run",
     order = Window.partitionBy("node").orderBy("day")
     hot = events.where(F.col(flag) == 1).withColumn("excess", F.col(value).cast("float") - F.col(threshold).cast("float"))
     new = F.coalesce((F.datediff("day", F.lag("day").over(order)) != 1).cast("int"), F.lit(1))
-    runs = hot.withColumn("_new", new).withColumn("run_id", F.sum("_new").over(order)).groupBy("node", "run_id").agg(
+    runs = hot.withColumn("_new", new).withColumn("run_id", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("node", "run_id").agg(
         F.min("day").alias("start"), F.max("day").alias("end"), F.count(F.lit(1)).alias("duration"),
         F.avg("excess").alias("intensity_mean"), F.max("excess").alias("intensity_max"),
     ).where(F.col("duration") >= min_duration)

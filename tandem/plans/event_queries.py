@@ -20,13 +20,18 @@ YEARS = (1995, 2001)
 TAU = 0.95
 
 
+def days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The node-day series, kept once computed: thresholds, flags and seasons all start from it."""
+    return node_days(spark, sf_dir).persist()
+
+
 def hot_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hot event table. It is what most queries start from, so it is kept once it has been computed."""
-    return E.event_days(node_days(spark, sf_dir), HOT).persist()
+    return E.event_days(days(spark, sf_dir), HOT).persist()
 
 
 def cold_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.event_days(node_days(spark, sf_dir), COLD).persist()
+    return E.event_days(days(spark, sf_dir), COLD).persist()
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,26 +81,26 @@ def urban_panel(spark, sf_dir):
 
 
 def active_node_year_join(spark, sf_dir):
-    got = E.active_only(node_days(spark, sf_dir), panel(spark, sf_dir))
+    got = E.active_only(days(spark, sf_dir), panel(spark, sf_dir))
     return got.groupBy("node", "year").agg(F.count(F.lit(1)).alias("days"), F.round(F.sum("value"), 4).alias("value"))
 
 
 def warm_months(spark, sf_dir):
-    got = E.warm_months(node_days(spark, sf_dir), WARM, 3)
+    got = E.warm_months(days(spark, sf_dir), WARM, 3)
     return got.select("node", "month", F.round("mean_value", 4).alias("mean_value"), "warm_rank")
 
 
 def season_filter(spark, sf_dir):
-    got = E.season_filter(node_days(spark, sf_dir), WARM)
+    got = E.season_filter(days(spark, sf_dir), WARM)
     return got.select("node", S.day_text(F.col("day")).alias("day"), "value")
 
 
 def doy_thresholds(spark, sf_dir):
-    return E.doy_thresholds(node_days(spark, sf_dir), HOT).select("node", "doy", F.round("thr_raw", 7).alias("thr_raw"))
+    return E.doy_thresholds(days(spark, sf_dir), HOT).select("node", "doy", F.round("thr_raw", 7).alias("thr_raw"))
 
 
 def smoothed_thresholds(spark, sf_dir):
-    got = E.smoothed_thresholds(E.doy_thresholds(node_days(spark, sf_dir), HOT))
+    got = E.smoothed_thresholds(E.doy_thresholds(days(spark, sf_dir), HOT))
     return got.select("node", "doy", "thr")
 
 
@@ -112,7 +117,7 @@ def cold_event_flags(spark, sf_dir):
 
 
 def warm_season_events(spark, sf_dir):
-    return _flags(E.event_days(node_days(spark, sf_dir), WARM))
+    return _flags(E.event_days(days(spark, sf_dir), WARM))
 
 
 def run_flags_row(spark, sf_dir):
@@ -147,7 +152,7 @@ def node_dimension(spark, sf_dir):
 
 
 def study_days(spark, sf_dir):
-    got = E.clip_days(node_days(spark, sf_dir), "2000-01-01", "2024-12-31").groupBy("day").agg(F.count(F.lit(1)).alias("nodes"))
+    got = E.clip_days(days(spark, sf_dir), "2000-01-01", "2024-12-31").groupBy("day").agg(F.count(F.lit(1)).alias("nodes"))
     return got.select(S.study_day(F.col("day")).alias("pos"), S.day_text(F.col("day")).alias("day"), "nodes")
 
 

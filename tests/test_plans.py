@@ -51,3 +51,15 @@ def test_ranges_are_equi_joins(spark):
 def test_day_windows_are_pre_aggregated(spark):
     text = plan(node_days(spark, str(DATA)).groupBy("node").agg(F.sum("value")))
     assert text.count("partial_sum") >= 2
+
+
+def test_flags_and_runs_share_one_exchange_and_one_sort(spark):
+    from tandem.config import EventConfig
+    from tandem.operators import events as E
+
+    days = spark.range(0).select(F.col("id").alias("node"), F.lit("2001-01-01").cast("date").alias("day"), F.rand().alias("value"), F.lit(2001).alias("year"), F.lit(1).alias("month"), F.lit(1).alias("doy"))
+    flags = spark.createDataFrame([], "node bigint, day date, value double, evt int")
+    for mode in ("row", "calendar"):
+        text = plan(E.run_flags(flags, 2, mode))
+        assert text.count("Exchange hashpartitioning") == 1 and len(re.findall(r"\bSort \[", text)) == 1
+    assert "hashpartitioning(node, doy" not in plan(E.event_flags(days, E.smoothed_thresholds(E.doy_thresholds(days, EventConfig())))).split("Window")[0].replace("#", "")
