@@ -25,6 +25,8 @@ VOCABULARY, LEAST_DOCS = 20_000, 3
 #: Log-odds of a sentence without evidence; so low that a long clean document doesn't add up to a toxic one.
 BACKGROUND = -10.0
 EPOCHS, RATE, SHRINK = 150, 0.15, 2e-4
+#: Weights as small as this are what the shrinkage leaves around zero; against the background they decide nothing.
+LEAST_WEIGHT = 0.5
 THRESHOLD = 0.5
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _TOKEN = re.compile(r"\w+")
@@ -116,7 +118,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         g = -np.bincount(feat, blame[inst], len(w)) / n + SHRINK * np.sign(w)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w = w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    return Model({f: float(w[k]) for f, k in number.items() if abs(w[k]) > 0.05})
+    return Model({f: float(w[k]) for f, k in number.items() if abs(w[k]) > LEAST_WEIGHT})
 
 
 def held_out(doc_id="doc_id"):
