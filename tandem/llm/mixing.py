@@ -159,7 +159,8 @@ def _slices(batches):
                 texts += found
             rows = part.take(pa.array(at, pa.int64()))
             names = [c for c in part.schema.names if not c.startswith("_mx_")]
-            columns = [pa.array(texts, pa.string()) if c == "text" else pa.array(map(len, texts), pa.int64()) if c == "n_chars" else rows.column(c) for c in names]
+            new = {"text": texts, "n_chars": list(map(len, texts))}
+            columns = [pa.array(new[c], part.schema.field(c).type) if c in new else rows.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
 

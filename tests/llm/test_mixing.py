@@ -77,6 +77,13 @@ def test_the_mix_takes_what_the_plan_says(spark, docs):
     assert taken == Counter({k: v for k, v in plan.items() if v})
 
 
+def test_other_column_types_pass_through(spark, docs):
+    frame = docs([(1, "a b c d e f", "x"), (2, "g h", "y")]).withColumn("n_chars", F.lit(3).cast("int")).withColumn("tags", F.array(F.lit("t"))).withColumn("at", F.lit("2020-01-01").cast("timestamp_ntz"))
+    got = mixing.mix(frame)
+    assert got.schema.simpleString() == frame.schema.simpleString()
+    assert all(r["n_chars"] == len(r["text"]) and r["tags"] == ["t"] for r in got.collect())
+
+
 def test_shards_of_a_hot_source_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(mixing, "SHARD_DOCS", 50)
     frame = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("some words of text").alias("text"), F.lit("hot").alias("source"))

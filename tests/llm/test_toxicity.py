@@ -61,6 +61,13 @@ def test_scores_of_awkward_rows(spark, docs):
     assert toxicity.score(frame.limit(0), model).count() == 0
 
 
+def test_other_column_types_pass_through(spark, docs):
+    frame = docs([(1, "so bad"), (2, None)]).withColumn("tags", F.array(F.lit("t"))).withColumn("at", F.lit("2020-01-01").cast("timestamp_ntz")).withColumn("d", F.lit(1).cast("decimal(9,2)"))
+    got = toxicity.score(frame, toxicity.Model({"bad": 20.0}))
+    assert got.drop("tox_score", "tox_spans").schema.simpleString() == frame.schema.simpleString()
+    assert sorted((r["doc_id"], r["tags"], str(r["d"])) for r in got.collect()) == [(1, ["t"], "1.00"), (2, ["t"], "1.00")]
+
+
 def test_empty_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.train(docs([(1, "a")]), none).weights == {}
