@@ -287,7 +287,8 @@ def nearest_latitude(spark, sf_dir):
 def bundle_wave_diagnostics(spark, sf_dir):
     bundles = spark.createDataFrame([("C1", -100.0, 40.0, 10.0, 50.0), ("D1", 110.0, 30.0, -90.0, 34.0)], "bundle string, lon_a double, lat_a double, lon_b double, lat_b double")
     dates = _heights(spark, sf_dir).select(F.when(F.dayofyear("date") % 2 == 0, "C1").otherwise("D1").alias("bundle"), "date").distinct()
-    return P.bundle_diagnostics(bundles, dates, _heights(spark, sf_dir), 64)
+    got = P.bundle_diagnostics(bundles, dates, _heights(spark, sf_dir), 64)
+    return got.withColumns({c: F.round(c, 4) for c in ("wave_a", "wave_b", "abs_delta", "drift")})
 
 
 def node_distances(spark, sf_dir):
@@ -451,6 +452,24 @@ an as (select label, vec_id, i, v - avg(v) over (partition by vec_id) as v from
         lon = [nearest.format(f"(c.label * {k}) % 360 - 180").replace("w.", "x.").replace("from w", f"from b{low} x") for k in (37, 101)]
         diag.append(f"select label, '{low}-{high}' as band, (select wave from b{low} y where y.label = c.label and y.i = {lon[0]}) as wa, (select wave from b{low} y where y.label = c.label and y.i = {lon[1]}) as wb from (select distinct label from co) c")
     diagnostics = "dg as (" + " union all ".join(diag) + ")"
+    heights = """ht as (
+    select vec_id, date '2000-06-01' + (vec_id // 6 % 150)::int as date, case when vec_id % 2 = 0 then 500 else 850 end as level,
+           30.0 + 10 * (vec_id // 2 % 3) as lat, embedding from embeddings),
+bd as (select * from (values ('C1', -100.0, 10.0, 45.0, 40.0), ('D1', 110.0, -90.0, 32.0, 30.0)) t(bundle, lon_a, lon_b, target_lat, glat)),
+dt as (select distinct case when dayofyear(date) % 2 = 0 then 'C1' else 'D1' end as bundle, date from ht),
+wn as (select bundle, date, s::int as s, date + s::int as want from dt, (select unnest([0, -3, 3]) as s)),
+hd as (select distinct bundle, date as h from ht join bd on lat = glat and level = 500),
+pk as (select * from (
+    select wn.*, h, row_number() over (partition by wn.bundle, wn.date, s order by abs(h - want), h) as k
+    from wn join hd on hd.bundle = wn.bundle and year(h) = year(wn.date) and abs(h - want) <= 31) where k = 1),
+em as (
+    select pk.bundle, pk.date, s, vec_id, (unnest(embedding) * 1000::float)::double as v, unnest(range(64))::int as i
+    from pk join bd using (bundle) join ht on ht.date = h and level = 500 and lat = glat),
+an as (select bundle, s, i, v - avg(v) over (partition by bundle, date, s, vec_id) as v from em),
+co as (select bundle || ':' || s as label, i, avg(v) as v, count(*) as n from an group by 1, 2)"""
+    place = "(select i from (select unnest(range(64)) as i) order by abs(i * 360.0 / 64 - ((({}) % 360) + 360) % 360), i limit 1)"
+    moved = "dr as (select bd.bundle, s::int as shift, corr(x.wave, y.wave) as corr from bd, range(-20, 21) t(s), b x, b y where x.label = bd.bundle || ':-3' and y.label = bd.bundle || ':3' and y.i = (((x.i - s) % 64) + 64) % 64 group by 1, 2)"
+    values_ = f"va as (select bd.*, (select wave from b where label = bd.bundle || ':0' and i = {place.format('bd.lon_a')}) as wa, (select wave from b where label = bd.bundle || ':0' and i = {place.format('bd.lon_b')}) as wb from bd)"
     cells = """px as (select lon + (c_custkey % 5) * 0.0625 - 0.1 as lon, lat + (c_custkey % 3) * 0.0625 - 0.05 as lat, abs(c_acctbal) as population from customer join nodes on node = c_nationkey),
 gr as (select floor(lon / 0.25 + 0.5) as cx, floor(lat / 0.25 + 0.5) as cy, sum(population) as population from px group by 1, 2),
 fp as (select distinct cluster, side as footprint, node from sd union select distinct cluster, 'bundle_union', node from sd),
@@ -501,6 +520,7 @@ po as (select cluster, footprint, coalesce(sum(population), 0) as population fro
         "bundle_labels": "select mechanism, rank, label as bundle, regexp_replace(label, ' ', chr(10)) as axis, 'plt0p01' as slug from (values ('Coherent', 1, 'C1 North America-Europe'), ('Coherent', 2, 'C2 North America-East Asia'), ('Coherent', 3, 'C3 Europe-East Asia'), ('Coherent', 4, 'Coherent 4'), ('Dipole', 1, 'D1 East Asia-North America'), ('Dipole', 2, 'D2 West/Central Asia-East Asia'), ('Dipole', 3, 'D3 North Atlantic-North America'), ('Dipole', 4, 'Dipole 4')) t(mechanism, rank, label)",
         "nearest_year": "with y as (select distinct year(o_orderdate)::int as year from orders where year(o_orderdate) % 2 = 0) select w::int as wanted, (select year from y order by abs(year - w), year limit 1) as nearest from (select unnest([1999, 1900, 1996]) as w)",
         "nearest_latitude": "select strftime(date '2000-06-01' + (vec_id // 6 % 150)::int, '%Y-%m-%d') as day, count(*) as n, round(sum(embedding[1]::double * 1000), 3) as z0 from embeddings where vec_id % 2 = 0 and (vec_id // 2) % 3 = 1 group by 1",
+        "bundle_wave_diagnostics": Q.query(heights, band(4, 8, "b"), moved, values_, select="select va.bundle, (select max(n) from co where label = va.bundle || ':0') as n_windows, target_lat::double as target_lat, (((lon_a % 360) + 360) % 360)::double as lon_a, (((lon_b % 360) + 360) % 360)::double as lon_b, round(wa, 4) as wave_a, round(wb, 4) as wave_b, round(abs(wa - wb), 4) as abs_delta, sign(wa) = sign(wb) and wa <> 0 as same_sign, case when abs(wa - wb) < 45 then 'coherent-like' else 'dipole-like' end as class, round(-(select arg_max(shift, corr) from dr where dr.bundle = va.bundle) / 6.0, 4) as drift from va"),
         "node_distances": Q.query(Q.NODES, select=f"select x.node, y.node as b, round({h('x.lon', 'x.lat', 'y.lon', 'y.lat')}, 6) as km from nodes x join nodes y on x.node < y.node"),
         "geodesic_distances": Q.query(Q.NODES, "pq as (select x.node as a, y.node as b, x.lon as lon1, x.lat as lat1, y.lon as lon2, y.lat as lat2 from nodes x join nodes y on x.node < y.node)", Q.geodesic("pq", "gd"), select="select a as node, b, round(km, 6) as km from gd"),
         "poisson_tail": f"with g as (select o::int as obs, (l * 0.75)::double as lam from range(0, 60) a(o), range(1, 40) b(l)) select obs, lam, round({tail}, 9) as p from g",
