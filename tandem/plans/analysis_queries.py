@@ -493,7 +493,7 @@ po as (select cluster, footprint, coalesce(sum(population), 0) as population fro
         "theil_sen": Q.query(series, _sens("se", "status"), select="select status, round(slope, 6) as slope, round(intercept, 6) as intercept, round(low95, 6) as low95, round(high95, 6) as high95 from ts"),
         "kendall_tau": Q.query(series, tau, select="select status, n, score, round(score / sqrt((n * (n - 1) / 2) * (n * (n - 1) / 2 - ty)), 8) as tau from pa join tt using (status) join nn using (status)"),
         "wilcoxon_z": Q.query(Q.ND, deltas, wz, select="select n, w_plus, round(z, 8) as z from wx"),
-        "wilcoxon_p": Q.query(Q.ND, deltas, wz, select=f"select n, round({Q.upper_tail('z')}, 8) as p_greater, round(least(1.0, 2 * {Q.upper_tail('abs(z)')}), 8) as p_two_sided from wx"),
+        "wilcoxon_p": Q.query(Q.ND, deltas, wz, select=f"select n, round({Q.upper_tail('z')}, 8) as p_greater, round(case when z is not null then least(1.0, 2 * {Q.upper_tail('abs(z)')}) end, 8) as p_two_sided from wx"),
         "stable_core": Q.query(PANEL, select=f"select node from panel where urban_frac > 0.9 group by node having count(distinct year) = {N_YEARS}"),
         "denominator_scenarios": Q.query(*panel_sql, *_scenario_sql(), select="select * from den"),
         "denominator_scenarios_dipole": Q.query(*panel_sql, cold, *_scenario_sql("ev", "cd"), select="select * from den"),

@@ -291,7 +291,7 @@ def oracles() -> dict[str, str]:
         "dipole_edges": Q.query(*dip, select=edge_columns),
         "fdr_screen": Q.query(*coh, ranked, select=fdr.format("count(*) filter (where below) over ()")),
         "fdr_step_up": Q.query(*coh, ranked, select=fdr.format("coalesce(max(case when below then rank end) over (), 0)")),
-        "fdr_summary": Q.query(*coh, ranked, f"fk as ({fdr.format('count(*) filter (where below) over ()').replace('select a, b, rank, round(line, 8) as line, round(cutoff, 8) as cutoff,', 'select dist_km, below, m, cutoff,')})", select=f"select count(*) as candidates, max(m)::bigint as tests, {FDR_Q}::double as q, count(*) filter (where below) as retained, round(max(cutoff), 8) as cutoff, count(*) filter (where keep and dist_km > 8000) as retained_long, round(100 * avg((dist_km > 8000)::int::double) filter (where keep), 6) as percent_long, round(median(dist_km) filter (where keep), 6) as median_km from fk"),
+        "fdr_summary": Q.query(*coh, ranked, f"fk as ({fdr.format('count(*) filter (where below) over ()').replace('select a, b, rank, round(line, 8) as line, round(cutoff, 8) as cutoff,', 'select dist_km, below, m, cutoff,')})", select=f"select count(*) as candidates, (select (count(*) * (count(*) - 1)) // 2 from ok)::bigint as tests, {FDR_Q}::double as q, count(*) filter (where below) as retained, round(max(cutoff), 8) as cutoff, count(*) filter (where keep and dist_km > 8000) as retained_long, round(100 * avg((dist_km > 8000)::int::double) filter (where keep), 6) as percent_long, round(median(dist_km) filter (where keep), 6) as median_km from fk"),
         "bundle_reconstruction": Q.query(*coh, select="select c::int as cluster_id, k as \"check\", true as ok, 0::bigint as failures from (select distinct a % 3 as c from e), (select unnest(['edge_count', 'node_count_a', 'node_count_b']) as k)"),
         "geodesic_edges": Q.query(*coh, "pq as (select a, b, x.lon as lon1, x.lat as lat1, y.lon as lon2, y.lat as lat2 from sc join nodes x on x.node = a join nodes y on y.node = b)", Q.geodesic("pq", "gd"), select="select a, b, round(km, 3) as geodesic_km from gd"),
         "edge_summary": Q.query(*coh, select=f"select {summary} from e"),
@@ -304,7 +304,7 @@ def oracles() -> dict[str, str]:
         "locked_runs_sweep_dipole": Q.query(*dip, run1, Q.runs("cd", "rc", 1), "pr as (select distinct a, b from e)", Q.sweep("r", "rc", "lk", 3, False), select="select distinct run_uid from lk"),
         "matched_controls": Q.query(*coh, run1, pairs, Q.sweep("r", "r", "lk", 1, True), Q.MATCHED, select="select locked_uid, control_uid from dl"),
         "matched_deltas_rounded": Q.query(*coh, run1, pairs, Q.sweep("r", "r", "lk", 1, True), Q.MATCHED, select="select locked_uid, control_uid, dur_bin, round(delta, 2) as delta from dl"),
-        "paired_tests": Q.query(*coh, run1, pairs, Q.sweep("r", "r", "lk", 1, True), Q.MATCHED, "dr as (select round(delta, 0) as delta from dl)", Q.signed_ranks("dr", "wx"), select=f"select (select count(*) from dr) as n_pairs, (select round(avg(delta), 6) from dr) as mean_delta, (select median(delta) from dr) as median_delta, round(z, 8) as z, round({Q.upper_tail('z')}, 8) as p_greater, round(least(1.0, 2 * {Q.upper_tail('abs(z)')}), 8) as p_two_sided from wx"),
+        "paired_tests": Q.query(*coh, run1, pairs, Q.sweep("r", "r", "lk", 1, True), Q.MATCHED, "dr as (select round(delta, 0) as delta from dl)", Q.signed_ranks("dr", "wx"), select=f"select (select count(*) from dr) as n_pairs, (select round(avg(delta), 6) from dr) as mean_delta, (select median(delta) from dr) as median_delta, round(z, 8) as z, round({Q.upper_tail('z')}, 8) as p_greater, round(case when z is not null then least(1.0, 2 * {Q.upper_tail('abs(z)')}) end, 8) as p_two_sided from wx"),
         "raw_lock_summary": Q.query(*coh, run1, pairs, met.format(2), locked, "mk as (select r.*, run_uid in (select run_uid from lk) as is_locked from r)", select="select count(*) as n_runs, count(*) filter (where is_locked) as n_locked, round(avg(is_locked::int::double), 6) as locked_fraction, round(avg(intensity_mean) filter (where is_locked), 4) as locked_mean, round(avg(intensity_mean) filter (where not is_locked), 4) as free_mean, round(avg(intensity_mean) filter (where is_locked) - avg(intensity_mean) filter (where not is_locked), 4) as mean_delta from mk"),
         "daily_signal": Q.query(*coh, side, signal, select="select cluster, side, strftime(day, '%Y-%m-%d') as day, n, round(signal, 8) as signal from sg"),
         "synchronized_dates": Q.query(*coh, side, signal, sync, select="select cluster, strftime(day, '%Y-%m-%d') as day from sy"),
