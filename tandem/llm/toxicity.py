@@ -1,8 +1,10 @@
 """Toxicity by multiple-instance learning: documents are bags of sentences, joined by noisy-or.
 
 Only document labels are known. A sentence's score is a logistic function of its words and their beginnings; a document
-is toxic unless none of its sentences is: P = 1 - prod(1 - p). The likelihood of the labels is maximised over the word
-weights, so blame settles on the sentences that tell toxic documents from others, which then can be located.
+is toxic unless none of its sentences is: P = 1 - prod(1 - p). Sentences count by what they have above the background,
+which each document has once, so sentences without evidence add nothing, however many there are. The likelihood of the
+labels is maximised over the word weights, so blame settles on the sentences that tell toxic documents from others, which
+then can be located.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from ._common import staged, table
 SAMPLE = {1: 3000, 0: 5000}
 #: ... and the vocabulary at most this many features, those that tell the classes apart best.
 VOCABULARY, LEAST_DOCS = 20_000, 3
-#: Log-odds of a sentence without evidence; so low that a long clean document doesn't add up to a toxic one.
+#: Log-odds of a document without evidence; a sentence's evidence is added to it.
 BACKGROUND = -10.0
 EPOCHS, RATE, SHRINK = 150, 0.15, 2e-4
 #: Weights as small as this are what the shrinkage leaves around zero; against the background they decide nothing.
@@ -67,14 +69,14 @@ class Model:
         return out
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
-        """Noisy-or over all sentences of a text; one without evidence has the background rate."""
+        """Noisy-or over the background, once a text, and what its sentences with evidence have above it."""
         text = text or ""
         words = set(_TOKEN.findall(text.lower()))
         # Most texts hold no word with weight and are not cut up.
         none = self.full.isdisjoint(words) and self.heads.isdisjoint({w[:4] for w in words})
         found = [] if none else self.sentences(text)
-        n = max(1, len(_SENTENCE.findall(text)))
-        clean = -float(np.logaddexp(0, self.bias)) * (n - len(found)) - sum(float(np.logaddexp(0, s)) for *_, s in found)
+        base = float(np.logaddexp(0, self.bias))
+        clean = -base - sum(max(0.0, float(np.logaddexp(0, s)) - base) for *_, s in found)
         return float(-np.expm1(clean)), found
 
 
@@ -96,7 +98,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     best = sorted(np.argsort(-z, kind="stable")[:VOCABULARY].tolist(), key=lambda i: common[i])
     best = [i for i in best if z[i] > 2]
     number = {common[i]: k for k, i in enumerate(best)}
-    doc, inst, feat, rest = [], [], [], np.zeros(len(texts))
+    doc, inst, feat = [], [], []
     for d, text in enumerate(texts):
         for sentence in _SENTENCE.findall(text or ""):
             known = {number[f] for w in _TOKEN.findall(sentence.lower()) for f in features(w) if f in number}
@@ -104,15 +106,13 @@ def fit(texts: list[str], labels: list[int]) -> Model:
                 inst += [len(doc)] * len(known)
                 feat += sorted(known)
                 doc.append(d)
-            else:
-                rest[d] += 1
     doc, inst, feat = np.array(doc, int), np.array(inst, int), np.array(feat, int)
     w = np.maximum(0, odds[best]) if best else np.zeros(0)
-    m, v, n = np.zeros_like(w), np.zeros_like(w), len(texts)
+    m, v, n, base = np.zeros_like(w), np.zeros_like(w), len(texts), np.logaddexp(0, BACKGROUND)
     for t in range(1, EPOCHS + 1):
         s = BACKGROUND + np.bincount(inst, w[feat], len(doc))
-        p = 1 / (1 + np.exp(-s))
-        log_q = -np.bincount(doc, np.logaddexp(0, s), n) - np.logaddexp(0, BACKGROUND) * np.maximum(rest, 1)
+        p = np.where(s >= BACKGROUND, 1 / (1 + np.exp(-s)), 0.0)
+        log_q = -base - np.bincount(doc, np.maximum(0, np.logaddexp(0, s) - base), n)
         big = -np.expm1(log_q)
         blame = np.where(y[doc] == 1, np.exp(log_q[doc]) / np.maximum(big[doc], 1e-12), -1.0) * p
         g = -np.bincount(feat, blame[inst], len(w)) / n + SHRINK * np.sign(w)

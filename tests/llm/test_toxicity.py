@@ -39,6 +39,16 @@ def test_long_clean_documents_stay_clean(corpus):
     assert model.score("x" * 300_000)[0] < 0.5
 
 
+def test_sentences_without_evidence_add_nothing(corpus):
+    model = toxicity.fit([t for _, t, _ in corpus], [y for *_, y in corpus])
+    line = "a wordless zq. \n"
+    assert not model.sentences(line)
+    assert model.score(line * 100_000)[0] == model.score(line)[0] < 0.5
+    mild = toxicity.Model({"fine": -1.0, "bad": 20.0})
+    assert mild.score("fine. " * 100_000)[0] == mild.score("")[0] < 0.5
+    assert mild.score("fine. " * 100_000 + "so bad.")[0] > 0.5
+
+
 def test_one_class_gives_the_background():
     model = toxicity.fit(["a b", "c d"], [0, 0])
     assert 0 <= model.score("a")[0] < 0.01 and model.score(None)[0] == model.score("")[0]
