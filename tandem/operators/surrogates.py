@@ -44,9 +44,19 @@ def empirical_p(observed: Column, draws: Column) -> Column:
     return (F.count_if(draws >= observed) + 1) / (F.count(draws) + 1)
 
 
+def dense_totals(totals: DataFrame, keys: DataFrame, draws: int, by: list[str], value: str = "value") -> DataFrame:
+    """(draw, by, value): one row for every draw and each of keys (by), 0 where totals (draw, by, n) has none."""
+    grid = keys.select(*by).distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    summed = totals.groupBy("draw", *by).agg(F.sum("n").cast("double").alias(value))
+    return grid.join(summed, ["draw", *by], "left").select("draw", *by, F.coalesce(value, F.lit(0.0)).alias(value))
+
+
 def surrogate_summary(draws: DataFrame, observed: DataFrame, by: list[str]) -> DataFrame:
-    """observed, surrogate mean, 95th and 99th percentile and empirical p. draws: by, value; observed: by, observed."""
-    got = draws.join(observed, by).groupBy(*by).agg(
+    """observed, surrogate mean, 95th and 99th percentile and empirical p. draws: by, value; observed: by, observed.
+
+    draws has a row for every draw, those without a synchronised day as 0 (dense_totals); absent observed rows count as 0.
+    """
+    got = draws.join(observed, by, "left").withColumn("observed", F.coalesce("observed", F.lit(0.0))).groupBy(*by).agg(
         F.max("observed").alias("observed"), F.avg("value").alias("surrogate_mean"), F.percentile("value", 0.95).alias("surrogate_p95"),
         F.percentile("value", 0.99).alias("surrogate_p99"), empirical_p(F.col("observed"), F.col("value")).alias("empirical_p"),
     )

@@ -125,8 +125,8 @@ def hashed_surrogates(spark, sf_dir):
 
 
 def surrogate_summary(spark, sf_dir):
-    drawn = circular_surrogates(spark, sf_dir).groupBy("draw", "cluster").agg(F.sum("n").cast("double").alias("value"))
     sides = bundle_sides(spark, sf_dir)
+    drawn = U.dense_totals(circular_surrogates(spark, sf_dir), sides, DRAWS, ["cluster"])
     dates = B.synchronized_dates(B.daily_signal(hot_days(spark, sf_dir).where("evt_run = 1").select("node", "day"), sides), 0.1)
     observed = dates.groupBy("cluster").agg(F.count(F.lit(1)).cast("double").alias("observed"))
     got = U.surrogate_summary(drawn, observed, ["cluster"])

@@ -217,3 +217,14 @@ def test_surrogates_keep_counts_and_rotate(spark):
 def test_empirical_p(spark):
     draws = spark.createDataFrame([(float(i),) for i in range(1000)], "v double")
     assert draws.agg(U.empirical_p(F.lit(2000.0), F.col("v")).alias("p")).first()["p"] == pytest.approx(1 / 1001)
+
+
+def test_draws_without_a_synchronised_day_count_as_zero(spark):
+    totals = spark.createDataFrame([(3, 0, 2001, 4), (3, 0, 2002, 2), (7, 0, 2001, 1)], "draw int, cluster int, year int, n long")
+    sides = spark.createDataFrame([(c, s, 1) for c in (0, 1) for s in ("side_a", "side_b")], "cluster int, side string, node long")
+    observed = spark.createDataFrame([(0, 2.0)], "cluster int, observed double")
+    got = {r["cluster"]: r for r in U.surrogate_summary(U.dense_totals(totals, sides, 10, ["cluster"]), observed, ["cluster"]).collect()}
+    values = np.array([0, 0, 0, 6, 0, 0, 0, 1, 0, 0], float)
+    assert got[0]["surrogate_mean"] == pytest.approx(0.7) and got[0]["empirical_p"] == pytest.approx(2 / 11)
+    assert (got[0]["surrogate_p95"], got[0]["surrogate_p99"]) == pytest.approx(tuple(np.percentile(values, [95, 99])))
+    assert (got[1]["observed"], got[1]["surrogate_mean"], got[1]["empirical_p"]) == (0.0, 0.0, 1.0)
