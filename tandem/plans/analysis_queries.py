@@ -8,6 +8,7 @@ from functools import cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import SurrogateConfig
 from ..functions import scalars as S
 from ..functions.special import geodesic_km
 from ..operators import bundles as B
@@ -24,7 +25,7 @@ from .event_queries import PANEL, YEARS, cold_days, hot_days, panel
 
 N_YEARS = YEARS[1] - YEARS[0] + 1
 THRESHOLD = 0.05
-DRAWS = 20
+DRAWS = SurrogateConfig().draws
 
 
 def _orders_series(spark, sf_dir) -> DataFrame:

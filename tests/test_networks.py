@@ -228,3 +228,10 @@ def test_draws_without_a_synchronised_day_count_as_zero(spark):
     assert got[0]["surrogate_mean"] == pytest.approx(0.7) and got[0]["empirical_p"] == pytest.approx(2 / 11)
     assert (got[0]["surrogate_p95"], got[0]["surrogate_p99"]) == pytest.approx(tuple(np.percentile(values, [95, 99])))
     assert (got[1]["observed"], got[1]["surrogate_mean"], got[1]["empirical_p"]) == (0.0, 0.0, 1.0)
+
+
+def test_registered_surrogates_have_all_draws():
+    from tandem.config import SurrogateConfig
+    from tandem.plans import analysis_queries as A
+
+    assert A.DRAWS == SurrogateConfig().draws == 1000
