@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import stats as T
+
 
 def hashed_shift(seed: int) -> Column:
     """A draw's offset for a node-year of n days, by a seeded hash: any task can recompute it."""
@@ -61,3 +63,25 @@ def surrogate_summary(draws: DataFrame, observed: DataFrame, by: list[str]) -> D
         F.percentile("value", 0.99).alias("surrogate_p99"), empirical_p(F.col("observed"), F.col("value")).alias("empirical_p"),
     )
     return got
+
+
+def _yearly(totals: DataFrame, grid: DataFrame, keys: list[str], years: tuple[int, int]) -> DataFrame:
+    """(keys, x, y): yearly counts of totals (keys, year, n) on every year of each row of grid, 0 where there is none."""
+    dense = grid.withColumn("year", F.explode(F.sequence(F.lit(years[0]), F.lit(years[1]))))
+    counts = totals.groupBy(*keys, "year").agg(F.sum("n").alias("n"))
+    return dense.join(counts, [*keys, "year"], "left").select(*keys, F.col("year").cast("double").alias("x"), F.coalesce("n", F.lit(0)).cast("double").alias("y"))
+
+
+def layer_summary(totals: DataFrame, observed: DataFrame, layers: DataFrame, draws: int, years: tuple[int, int], by: list[str] = ["layer"]) -> DataFrame:  # noqa: B006
+    """surrogate_summary of each layer's totals (total_…) and of its Theil–Sen slopes over all years (slope_…).
+
+    totals: draw, by, year, n (of any number of bundles); observed: by, year, n; layers: by. Years, draws and layers
+    without a synchronised day count as 0.
+    """
+    names = layers.select(*by).distinct()
+    drawn = _yearly(totals, names.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))), ["draw", *by], years)
+    seen = _yearly(observed, names, by, years)
+    sums = surrogate_summary(drawn.groupBy("draw", *by).agg(F.sum("y").alias("value")), seen.groupBy(*by).agg(F.sum("y").alias("observed")), by)
+    slopes = surrogate_summary(T.theil_sen(drawn, ("draw", *by)).withColumnRenamed("slope", "value"), T.theil_sen(seen, tuple(by)).select(*by, F.col("slope").alias("observed")), by)
+    named = lambda f, k: f.select(*by, *[F.col(c).alias(f"{k}_{c}") for c in f.columns if c not in by])
+    return named(sums, "total").join(named(slopes, "slope"), by)

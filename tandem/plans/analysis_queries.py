@@ -134,6 +134,22 @@ def surrogate_summary(spark, sf_dir):
     return got.select("cluster", "observed", *[F.round(c, 8).alias(c) for c in ("surrogate_mean", "surrogate_p95", "surrogate_p99", "empirical_p")])
 
 
+def surrogate_layers(spark, sf_dir):
+    """Layer totals and slopes against hash-drawn surrogates: hot with hot sides (Coherent), hot with cold sides (Dipole)."""
+    sides = bundle_sides(spark, sf_dir)
+    hot, cold = hot_days(spark, sf_dir), cold_days(spark, sf_dir)
+    of = lambda events, side: events.join(sides.where(F.col("side") == side).select("node"), "node", "left_semi")
+    drawn = lambda events, seed: U.shifted_days(U.positions(events), DRAWS, U.hashed_shift(seed))
+    seen = lambda events: events.where("evt_run = 1").select(F.lit(0).alias("draw"), "node", "day")
+    totals = lambda days, layer: U.synchronized_totals(days, sides, 0.1).withColumn("layer", F.lit(layer))
+    seed = SurrogateConfig().seed
+    rows = totals(drawn(hot, seed), "Coherent").unionByName(totals(drawn(of(hot, "side_a"), seed).unionByName(drawn(of(cold, "side_b"), seed + 1)), "Dipole"))
+    observed = totals(seen(hot), "Coherent").unionByName(totals(seen(of(hot, "side_a")).unionByName(seen(of(cold, "side_b"))), "Dipole"))
+    layers = spark.createDataFrame([("Coherent",), ("Dipole",)], "layer string")
+    got = U.layer_summary(rows, observed, layers, DRAWS, YEARS)
+    return got.select("layer", *[F.round(c, 8).alias(c) for c in got.columns if c != "layer"])
+
+
 def _waves(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("label", "vec_id", F.transform("embedding", lambda x: x.cast("double") * 1000).alias("z"))
 
@@ -540,7 +556,7 @@ po as (select cluster, footprint, coalesce(sum(population), 0) as population fro
 
 QUERIES = {f.__name__: f for f in (
     theil_sen, kendall_tau, trend_summary, wilcoxon_z, wilcoxon_p, stable_core, denominator_scenarios, denominator_scenarios_dipole, scenario_bundles, scenario_trends,
-    circular_surrogates, hashed_surrogates, surrogate_summary, composite_anomaly, bandpass_dft, bandpass_fft, lag_correlation, lag_correlation_drift,
+    circular_surrogates, hashed_surrogates, surrogate_summary, surrogate_layers, composite_anomaly, bandpass_dft, bandpass_fft, lag_correlation, lag_correlation_drift,
     wave_diagnostics, nearest_days, footprint_sizes, exposure_person_nights, annual_person_nights, nearest_primary, geography_summary, humidity_wetbulb,
     region_case, bundle_labels, nearest_year, nearest_latitude, bundle_wave_diagnostics, cell_bounds, tag_names, node_distances, geodesic_distances, poisson_tail, set_ops_nodes, manifest_diff, set_equality, quality_checks,
     reference_comparison, override_rows, full_index_add, event_date_span, streaming_daily_minima, batch_daily_minima,

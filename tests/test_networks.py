@@ -235,3 +235,20 @@ def test_registered_surrogates_have_all_draws():
     from tandem.plans import analysis_queries as A
 
     assert A.DRAWS == SurrogateConfig().draws == 1000
+
+
+def test_layer_slopes_against_a_plain_version(spark):
+    rng = np.random.default_rng(3)
+    counts = rng.integers(0, 4, size=(12, 2, 6)) * (rng.random((12, 2, 6)) < 0.3)
+    seen = np.array([[0, 1, 0, 2, 4, 5], [0, 0, 0, 0, 0, 0]])
+    totals = [(d, "AB"[k], 2000 + y, int(n)) for (d, k, y), n in np.ndenumerate(counts) if n]
+    observed = [("AB"[k], 2000 + y, int(n)) for (k, y), n in np.ndenumerate(seen) if n]
+    layers = spark.createDataFrame([("A",), ("B",)], "layer string")
+    got = U.layer_summary(spark.createDataFrame(totals, "draw int, layer string, year int, n long"), spark.createDataFrame(observed, "layer string, year int, n long"), layers, 12, (2000, 2005))
+    slope = lambda y: float(np.median([(y[j] - y[i]) / (j - i) for i in range(6) for j in range(i + 1, 6)]))
+    rows = {r["layer"]: r.asDict() for r in got.collect()}
+    for k, layer in enumerate("AB"):
+        for name, f in (("total", lambda y: float(y.sum())), ("slope", slope)):
+            o, v = f(seen[k]), np.array([f(y) for y in counts[:, k]])
+            want = (o, v.mean(), *np.percentile(v, [95, 99]), ((v >= o).sum() + 1) / 13)
+            assert tuple(rows[layer][f"{name}_{c}"] for c in ("observed", "surrogate_mean", "surrogate_p95", "surrogate_p99", "empirical_p")) == pytest.approx(want)
