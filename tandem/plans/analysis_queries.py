@@ -195,11 +195,9 @@ def wave_diagnostics(spark, sf_dir):
 
 
 def nearest_days(spark, sf_dir):
-    """Composite dates matched with the nearest order day of their year, three days earlier."""
+    """All order days matched with the nearest order day of their year, three days earlier."""
     o = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("date"), "o_totalprice").groupBy("date").agg(F.max("o_totalprice").alias("z"))
-    heights = o.where(F.dayofyear("date") % 5 == 0)
-    dates = o.where(F.dayofyear("date") % 40 == 1).select("date")
-    return P.nearest_days(dates, heights, -3).select(S.day_text(F.col("date")).alias("day"), "z")
+    return P.nearest_days(o.select("date"), o, -3).select(S.day_text(F.col("date")).alias("day"), "z")
 
 
 def _pixels(spark, sf_dir) -> DataFrame:

@@ -52,6 +52,16 @@ def test_nearest_days_stay_in_the_year(spark):
     assert P.nearest_days(dates, heights, -3).first()["z"] == [2.0]
 
 
+def test_nearest_days_query_answers_every_order_day(spark):
+    from tandem.plans import catalog
+
+    path = "/root/testdata/sf0.001"
+    z = {r[0]: r[1] for r in spark.read.parquet(f"{path}/orders.parquet").groupBy(F.to_date("o_orderdate")).agg(F.max("o_totalprice")).collect()}
+    near = {d: min((abs((h - d).days + 3), h) for h in z if h.year == d.year)[1] for d in z}
+    got = {r["day"]: r["z"] for r in catalog.queries()["nearest_days"](spark, path).collect()}
+    assert got == {d.isoformat(): z[h] for d, h in near.items()}
+
+
 def test_zonal_sums_count_a_node_once(spark):
     sides = spark.createDataFrame([(0, "side_a", 1), (0, "side_b", 1), (0, "side_b", 2)], "cluster int, side string, node bigint")
     nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.25, 0.0)], "node bigint, lon double, lat double")
