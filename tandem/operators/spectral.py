@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..config import SpectralConfig
 from ..functions import scalars as S
@@ -27,6 +28,21 @@ def composite(rows: DataFrame, by: list[str], z: str = "z") -> DataFrame:
     return mean.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("z"), F.max("n").alias("n"))
 
 
+def nearest_of(wanted: DataFrame, days: DataFrame, by: list[str]) -> DataFrame:
+    """(by, _want, _h): of days (by, _h) the one nearest to each wanted day (by, _want) of the same group, the earlier of two.
+
+    The last day at or before and the first at or after come from one sort of both tables' distinct days.
+    """
+    day = Window.partitionBy(*by).orderBy("_want")
+    none = F.lit(None).cast("date")
+    both = wanted.select(*by, "_want", none.alias("_h")).distinct().unionByName(days.select(*by, F.col("_h").alias("_want"), "_h").distinct())
+    before = F.max("_h").over(day.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.min("_h").over(day.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    placed = both.withColumn("_before", before).withColumn("_after", after).where("_h is null and _want is not null")
+    later = F.col("_before").isNull() | (F.datediff("_after", "_want") < F.datediff("_want", "_before"))
+    return placed.select(*by, "_want", F.when(later, F.col("_after")).otherwise(F.col("_before")).alias("_h")).where("_h is not null")
+
+
 def nearest_days(dates: DataFrame, heights: DataFrame, offset: int = 0) -> DataFrame:
     """For each date, shifted by offset days, the height row nearest in time within the date's own calendar year.
 
@@ -36,8 +52,7 @@ def nearest_days(dates: DataFrame, heights: DataFrame, offset: int = 0) -> DataF
     wanted = dates.withColumn("_want", F.date_add("date", offset)).withColumn("_yr", F.year("date"))
     days = heights.select(F.col("date").alias("_h"), F.year("date").alias("_yr")).distinct()
     # The nearest day is found on dates alone; the arrays join once it is known.
-    near = wanted.join(days, "_yr").where(F.abs(F.datediff("_h", "_want")) <= max(31, abs(offset)))
-    best = near.groupBy(*keys).agg(F.min_by("_h", F.struct(F.abs(F.datediff("_h", "_want")), F.col("_h"))).alias("_h"))
+    best = wanted.distinct().join(nearest_of(wanted, days, ["_yr"]), ["_yr", "_want"]).select(*keys, "_h")
     return best.join(heights.select(F.col("date").alias("_h"), "z"), "_h").select(*keys, "z")
 
 
@@ -114,10 +129,9 @@ def bundle_diagnostics(bundles: DataFrame, dates: DataFrame, heights: DataFrame,
     choice = F.min_by(F.struct("level", "lat"), F.struct(F.abs(F.col("level") - level), F.abs(F.col("lat") - F.col("target_lat")), F.col("lat"))).alias("g")
     at = target.crossJoin(F.broadcast(grid)).groupBy("bundle").agg(choice).select("bundle", "g.*")  # the grid's levels and latitudes
     rows = heights.join(F.broadcast(at), ["level", "lat"]).select("bundle", F.col("date").alias("h_date"), "z")
-    wanted = dates.select("bundle", "date", F.explode(F.array(F.lit(0), F.lit(-lag), F.lit(lag))).alias("shift"), F.year("date").alias("yr")).withColumn("want", F.date_add("date", F.col("shift")))
-    days = rows.select("bundle", "h_date", F.year("h_date").alias("yr")).distinct()
-    near = wanted.join(days, ["bundle", "yr"]).where(F.abs(F.datediff("h_date", "want")) <= 31)
-    best = near.groupBy("bundle", "date", "shift").agg(F.min_by("h_date", F.struct(F.abs(F.datediff("h_date", "want")), F.col("h_date"))).alias("h_date"))
+    wanted = dates.select("bundle", "date", F.explode(F.array(F.lit(0), F.lit(-lag), F.lit(lag))).alias("shift"), F.year("date").alias("yr")).withColumn("_want", F.date_add("date", F.col("shift"))).distinct()
+    days = rows.select("bundle", F.col("h_date").alias("_h"), F.year("h_date").alias("yr"))
+    best = wanted.join(nearest_of(wanted, days, ["bundle", "yr"]), ["bundle", "yr", "_want"]).select("bundle", "date", "shift", F.col("_h").alias("h_date"))
     picked = best.join(rows, ["bundle", "h_date"])
     waves = band_pass(composite(picked, ["bundle", "shift"]), config.low, config.high)
     wave = lambda k, c: waves.where(F.col("shift") == k).select("bundle", F.col("wave").alias(c), *(["n"] if k == 0 else []))

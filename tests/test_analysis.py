@@ -62,6 +62,23 @@ def test_nearest_days_query_answers_every_order_day(spark):
     assert got == {d.isoformat(): z[h] for d, h in near.items()}
 
 
+def test_nearest_days_cross_any_gap_of_the_year(spark):
+    dates = spark.createDataFrame([(dt.date(2001, m, 15),) for m in (1, 5, 9, 12)] + [(dt.date(2003, 5, 1),)], "date date")
+    days = [dt.date(2001, 1, 1), dt.date(2001, 8, 1), dt.date(2001, 8, 29), dt.date(2002, 1, 1)]
+    heights = spark.createDataFrame([(d, [float(i)]) for i, d in enumerate(days)], "date date, z array<double>")
+    for offset in (0, -3, 80):
+        want = {d: min((abs((h - d).days - offset), i) for i, h in enumerate(days) if h.year == d.year)[1] for d in (dt.date(2001, m, 15) for m in (1, 5, 9, 12))}
+        assert {r["date"]: r["z"] for r in P.nearest_days(dates, heights, offset).collect()} == {d: [float(i)] for d, i in want.items()}
+
+
+def test_bundle_diagnostics_keep_windows_far_from_any_height(spark):
+    rng = np.random.default_rng(5)
+    heights = spark.createDataFrame([(dt.date(2001, 1, 1), 500, 40.0, rng.normal(size=16).tolist()), (dt.date(2001, 8, 1), 500, 40.0, rng.normal(size=16).tolist())], "date date, level int, lat double, z array<double>")
+    bundles = spark.createDataFrame([("C1", 0.0, 40.0, 90.0, 40.0)], "bundle string, lon_a double, lat_a double, lon_b double, lat_b double")
+    dates = spark.createDataFrame([("C1", dt.date(2001, 1, 2)), ("C1", dt.date(2001, 4, 10)), ("C1", dt.date(2001, 11, 1))], "bundle string, date date")
+    assert P.bundle_diagnostics(bundles, dates, heights, 16).first()["n_windows"] == 3
+
+
 def test_zonal_sums_count_a_node_once(spark):
     sides = spark.createDataFrame([(0, "side_a", 1), (0, "side_b", 1), (0, "side_b", 2)], "cluster int, side string, node bigint")
     nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.25, 0.0)], "node bigint, lon double, lat double")
