@@ -8,6 +8,7 @@ each into the first bin that has room, which a tree of maxima over the bins' fre
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from functools import cache
 
@@ -41,15 +42,38 @@ def _full(tokenizer: str):
     return Tokenizer.from_file(tokenizer)
 
 
+#: Texts above this many characters are encoded in parts; a part above LONG holds a run that the faster encoder gives up on.
+PART, LONG, FLUSH = 1 << 16, 100_000, 1 << 20
+# No token of the vocabulary's pattern holds such a place inside: white space and punctuation start a token after a word.
+_SAFE = re.compile(r"(?<=\S)(?=[ \n\t\r])|(?<=[^\W_])(?=[.,;:!?。，、；：！？])")
+
+
+def _parts(text: str):
+    """The text in parts of about PART characters whose ids, one after the other, are the text's ids."""
+    at = 0
+    while len(text) - at > PART and (m := _SAFE.search(text, at + PART)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:] if at else text
+
+
 def encode(text: str, tokenizer: str = TOKENIZER, ranks: str = RANKS) -> list[int]:
-    """The tokenizer's ids. Latin-1 texts without its special string go through the same vocabulary's faster encoder."""
-    if "<|endoftext|>" not in text:
-        try:
-            text.encode("latin-1")
-            return _fast(ranks).encode_ordinary(text)
-        except UnicodeEncodeError:
-            pass
-    return _full(tokenizer).encode(text, add_special_tokens=False).ids
+    """The tokenizer's ids. Latin-1 texts without its special string go through the same vocabulary's faster encoder.
+
+    Long texts are encoded in parts, so memory follows the part. A part that stays long (one run without a break, as of
+    a million blanks, on which the faster encoder fails) goes through the tokenizer itself.
+    """
+    out: list[int] = []
+    for part in _parts(text):
+        if len(part) <= LONG and "<|endoftext|>" not in part:
+            try:
+                part.encode("latin-1")
+                out += _fast(ranks).encode_ordinary(part)
+                continue
+            except UnicodeEncodeError:
+                pass
+        out += _full(tokenizer).encode(part, add_special_tokens=False).ids
+    return out
 
 
 class Bins:
@@ -92,18 +116,24 @@ _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 def _pieces(with_ids: bool, window: int):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
 
+    def made(rows):
+        columns = list(zip(*rows))
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.int32()) if n == "ids" else pa.int64()) for n, c in zip(names, columns)], names=names)
+
     def cut(batches):
+        rows, held = [], 0
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                rows = []
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    ids = np.array([*encode(text or ""), END], "<u4")
-                    for a in range(0, len(ids), window):
-                        piece = ids[a : a + window]
-                        rows.append((doc, a, len(piece), zlib.crc32(piece.tobytes()), len(ids), *[piece.astype(np.int32)] * with_ids))
-                columns = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.int32()) if n == "ids" else pa.int64()) for n, c in zip(names, columns)], names=names)
+            for doc, text in zip(batch.column("doc_id"), batch.column("text")):  # one text at a time: they may be long
+                ids = np.array([*encode(text.as_py() or ""), END], "<u4")
+                for a in range(0, len(ids), window):
+                    piece = ids[a : a + window]
+                    rows.append((doc.as_py(), a, len(piece), zlib.crc32(piece.tobytes()), len(ids), *[piece.astype(np.int32)] * with_ids))
+                held += len(ids)
+                if held >= FLUSH:
+                    yield made(rows)
+                    rows, held = [], 0
+        if rows:
+            yield made(rows)
 
     return cut
 
@@ -129,8 +159,9 @@ def pack(docs: DataFrame, with_ids: bool = True, window: int = WINDOW, seed: int
 
     Every text, null and empty ones too (they hold the end id alone), is cut into windows; the rest of less than a
     window is packed within its group. Sequences are window long at most; the caller pads them. sequence_id is unique
-    over all groups, not dense. Repeated rows are packed each; rows without doc_id too. Other columns are ignored. Empty
-    in, empty out.
+    over all groups, not dense. Repeated rows are packed each; rows without doc_id too. Of left-overs of equal length the
+    smaller doc_id (then ids_crc32) is placed first. Very long texts are encoded in parts and give many pieces. Other
+    columns are ignored. Empty in, empty out.
     """
     cut = staged(pieces(docs, with_ids, window), "pack-pieces")
     n_rest = cut.where(F.col("length") < window).count()

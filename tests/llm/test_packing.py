@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -81,3 +82,52 @@ def test_query_has_little_padding(spark):
     got = packing.op6_packing(spark, "/root/testdata/sf0.01")
     used, sequences = got.agg(F.sum("length"), F.count_distinct("sequence_id")).first()
     assert sequences * 1024 < 1.01 * used
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, "\t \n" * 100_000 + "x", "1.5,2\n" * 30_000, "你好。世界" * 20_000, "<|endoftext|> a" * 9000, "don't. we'll 'sa。" * 9000])
+def test_very_long_texts_get_the_tokenizers_ids(text):
+    began = time.perf_counter()
+    got = packing.encode(text)
+    assert time.perf_counter() - began < 30
+    assert got == Tokenizer.from_file(packing.TOKENIZER).encode(text, add_special_tokens=False).ids
+
+
+def test_parts_are_cut_where_no_token_goes_over(monkeypatch):
+    monkeypatch.setattr(packing, "PART", 20)
+    rng, full = random.Random(6), Tokenizer.from_file(packing.TOKENIZER)
+    for _ in range(300):
+        t = "".join(rng.choice(" \n\t ab1.,'_é中。：\x1c\x85\xa0st") for _ in range(rng.randint(0, 400)))
+        assert "".join(packing._parts(t)) == t
+        assert packing.encode(t) == full.encode(t, add_special_tokens=False).ids
+
+
+def test_long_blank_documents_are_packed(spark, docs):
+    got = packing.pack(docs([(1, " " * 1_000_000), (2, "short")]), with_ids=False)
+    assert got.where("doc_id = 1").agg(F.sum("length")).first()[0] == len(packing.encode(" " * 1_000_000)) + 1
+
+
+def test_query_against_plain_version(spark):
+    path, full = "/root/testdata/sf0.001", Tokenizer.from_file(packing.TOKENIZER)
+    want = {r["doc_id"]: [*full.encode(r["text"] or "", add_special_tokens=False).ids, 0] for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
+    pieces, places, rest = defaultdict(list), defaultdict(list), []
+    for r in packing.op6_packing(spark, path).collect():
+        ids = want[r["doc_id"]]
+        assert r["doc_tokens"] == len(ids)
+        assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+        pieces[r["doc_id"]].append((r["start"], r["length"]))
+        places[r["sequence_id"]].append((r["offset"], r["length"], r["doc_id"], r["ids_crc32"]))
+        if r["length"] < 1024:
+            rest.append((-r["length"], r["doc_id"], r["ids_crc32"], r["sequence_id"], r["offset"]))
+    for i, ids in want.items():
+        assert sorted(pieces[i]) == [(a, min(1024, len(ids) - a)) for a in range(0, len(ids), 1024)]
+    for inside in places.values():
+        at = 0
+        for offset, length, *_ in sorted(inside):
+            assert offset == at
+            at += length
+    # One group here: its bins are those of plain first fit over the left-overs, longest first.
+    rest.sort()
+    plain = plain_first_fit([-n for n, *_ in rest], 1024)
+    bins = {}
+    for (_, _, _, sequence, offset), (at, used) in zip(rest, plain):
+        assert bins.setdefault(at, sequence) == sequence and offset == used
