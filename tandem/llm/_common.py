@@ -44,13 +44,29 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, removed at exit."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fresh(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores before it as it takes to clash with none of columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def lookup(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

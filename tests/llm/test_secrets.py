@@ -63,3 +63,78 @@ def test_empty_table(spark, docs):
 def test_plan_has_no_python(spark, name):
     plan = secrets.op3_secrets(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def answers(ledger, rules=secrets.RULES):
+    return sorted(map(tuple, secrets.by_version(ledger, rules).collect()), key=str)
+
+
+def bumped(rules, n):
+    return tuple(secrets.Rule(r.kind, r.pattern, r.least, r.group, r.holds, r.version + (i == n)) for i, r in enumerate(rules))
+
+
+TEXTS = ["token=abcdefgh1 and AKIA" + "C" * 16, "nothing", "secret: zzzzzzzz", "é " + "0a" * 20, None]
+
+
+@pytest.mark.parametrize("texts", [True, False])
+def test_after_a_rule_bump_and_a_reordering_the_answer_is_plain(spark, docs, tmp_path, texts):
+    rows = list(enumerate(TEXTS))
+    newer = bumped(secrets.RULES, 0)
+    turned = tuple(reversed(newer))
+    ledger = secrets.update(docs(rows), secrets.open_ledger(spark, f"{tmp_path}/a", texts))
+    plain = answers(secrets.update(docs([*rows, (9, TEXTS[0])]), rules=newer), newer)
+    ledger = secrets.update(docs([(9, TEXTS[0])]), ledger, newer)
+    got = {r["doc_id"]: r for r in secrets.by_version(ledger, newer).collect()}
+    assert got[0]["n_assign"] == got[9]["n_assign"] == 1 and got[0]["spans"].count("assign") == 1
+    if texts:  # the blobs of the first update were scanned with the new version too
+        assert answers(ledger, newer) == plain
+    else:  # and otherwise are known not to have been
+        assert got[2]["n_assign"] is None and got[2]["n_hex"] == 0
+        ledger = secrets.update(docs(rows), ledger, newer)
+        assert answers(ledger, newer) == plain
+    again = secrets.update(docs([(10, "plain")]), ledger, turned)
+    fields = ["doc_id", "n_assign", "n_access", "n_hex", "n_pem", "n_github"]
+    pick = lambda l, rules: sorted(map(tuple, secrets.by_version(l, rules).where("doc_id < 10").select(*fields).collect()), key=str)
+    assert pick(again, turned) == pick(ledger, newer)
+    assert again.seen.exceptAll(ledger.seen).select("blob").distinct().count() == 1
+
+
+def test_a_document_sent_again_is_no_new_version(spark, docs, tmp_path):
+    rows = list(enumerate(TEXTS))
+    one = secrets.update(docs(rows), path=f"{tmp_path}/l")
+    two = secrets.update(docs(rows[:2] + [(0, "changed: token=qqqqqqqq")]), one)
+    assert two.versions.count() == len(rows) + 1
+    assert two.seen.count() == one.seen.count() + len(secrets.RULES) and two.seen.distinct().count() == two.seen.count()
+    assert answers(two) == answers(secrets.update(docs([*rows, (0, "changed: token=qqqqqqqq")])))
+    assert answers(one) == answers(secrets.update(docs(rows)))
+
+
+def test_a_second_session_goes_on_from_the_folder(spark, docs, tmp_path, monkeypatch):
+    path, rows = f"{tmp_path}/l", [(i, f"token=abcdefg{i} {t or ''}") for i, t in enumerate(TEXTS)]
+    monkeypatch.setattr(secrets, "MOST_PARTS", 3)
+    for row in rows:
+        secrets.update(docs([row]), secrets.open_ledger(spark.newSession(), path))
+    last = secrets.open_ledger(spark.newSession(), path)
+    assert len(last.parts) <= 3 and last.number > len(rows)
+    assert answers(last) == answers(secrets.update(docs(rows)))
+
+
+def test_of_two_updates_of_one_state_the_second_fails_and_leaves_nothing(spark, docs, tmp_path):
+    start = secrets.update(docs([(1, "token=abcdefgh1")]), path=f"{tmp_path}/l")
+    first = secrets.update(docs([(2, "a")]), start)
+    with pytest.raises(secrets.LedgerConflict):
+        secrets.update(docs([(3, "b")]), start)
+    now = secrets.open_ledger(spark, f"{tmp_path}/l")
+    assert now.number == first.number and answers(now) == answers(first)
+
+
+def test_a_rule_must_not_change_under_its_name(spark, docs):
+    ledger = secrets.update(docs([(1, "x")]))
+    with pytest.raises(ValueError):
+        secrets.update(docs([(2, "y")]), ledger, (secrets.Rule("assign", "other", 1),))
+
+
+def test_a_hot_blob_with_findings(spark, docs, monkeypatch):
+    monkeypatch.setattr(_common, "BROADCAST_ROWS", 0)
+    frame = docs([(i, "token=" + "h" * 10) for i in range(300)] + [(i, f"t{i}") for i in range(300, 600)])
+    assert secrets.by_version(secrets.update(frame)).where("n_assign = 1").count() == 300
