@@ -1,6 +1,8 @@
 import random
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from tandem.llm import pii
@@ -83,3 +85,90 @@ def test_query_against_plain_version(spark):
         assert r["base_sha256"] == hashlib.sha256(",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in want).encode()).hexdigest()
         assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == tuple(sum(k == n for _, k, _ in want) for n in range(4))
         assert set(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in want) <= set(r["spans"].split(",")) | {""}
+
+
+def test_dense_entities_and_identifiers_take_linear_time():
+    for t in ("a@b.cc user_1234, " * 550_000, "abcdefg%123456 " * 100_000, "x" * 1_000_000, " " * 1_000_000, "1.2.3.4 " * 200_000):
+        began = time.perf_counter()
+        base = pii.base_spans(t)
+        at = pii.tokens(t)
+        n = len(pii.slots(t, base, at))
+        assert n >= len(base) and time.perf_counter() - began < 60
+
+
+def test_candidates_keep_their_digits_and_meet_no_entity():
+    assert [("abcdefg%123456"[a:b]) for a, b in pii.candidates("abcdefg%123456", [])] == ["abcdefg%123456"]
+    t = "ask Maria_K or a.b@c.dd, then J.Doe and 1.2.3.4 plain words. Then Bobby said 12345"
+    assert [t[a:b] for a, b in pii.candidates(t, pii.base_spans(t))] == ["Maria_K", "J.Doe", "Bobby", "12345"]
+    rng = random.Random(12)
+    for _ in range(3000):
+        t = "".join(rng.choice(PIECES) for _ in range(rng.randint(0, 25)))
+        base = pii.base_spans(t)
+        assert not [1 for a, b in pii.candidates(t, base) for s, _, e in base if a < e and s < b]
+
+
+def test_windows_give_the_patterns_of_the_whole_text():
+    rng = random.Random(13)
+    for _ in range(300):
+        t = " ".join(rng.choice(["mail", "to", "a@b.cc", "the.", "x" * 40, "no-one", "+1 (555) 010-9999", "  ", "\n", "É"]) for _ in range(40))
+        at = pii.tokens(t)
+        for a, _, e in pii.base_spans(t):
+            near = pii.tokens(t, max(0, a - pii._REACH), min(len(t), e + pii._REACH))
+            assert pii.patterns_at(t, a, e, near) == pii.patterns_at(t, a, e, at)
+
+
+def bootstrap_corpus(seed=5):
+    """Contexts that seeds share, a context that only found identifiers have, and contexts of ordinary things."""
+    rng = random.Random(seed)
+    rows, truth = [], {}
+
+    def add(before, entity, after, secret):
+        i = len(rows)
+        head = f"{words(rng, 6)} {before} " if before else f"{words(rng, 6)} "
+        rows.append((i, f"{head}{entity} {after} {words(rng, 6)}"))
+        if secret:
+            truth[i] = (len(head), len(head) + len(entity))
+
+    for k in range(30):
+        add("please contact", f"person{k}@host.example", "", False)
+        add("", f"person{k}@mail.example", "wrote back", False)
+        add("page", f"{k}", "of ten", False)
+        add("the", f"Section{k}", "is long", False)
+    hidden = [f"handle_{c}{c}x" for c in "abcdefghij"] + [f"Person{c}Doe" for c in "KLMNOPQRST"]
+    for k, name in enumerate(hidden):  # found through the first two contexts, with and without digits ...
+        add(*(("please contact", name, "") if k % 2 else ("", name, "wrote back")), True)
+        add("their nickname", name, "", True)  # ... and they induce a third, ...
+    for k in range(10):  # in which others stand that no first context names
+        add("their nickname", f"other_{k}", "", True)
+    return rows, truth
+
+
+def test_found_instances_induce_patterns_that_find_more(spark, docs):
+    rows, truth = bootstrap_corpus()
+    def named(rounds):
+        found = {}
+        for r in pii.find(docs(rows), rounds).collect():
+            for span in r["spans"].split(","):
+                if span.startswith("ctx_"):
+                    found.setdefault(r["doc_id"], []).append(tuple(map(int, span.split(":")[1:])))
+        hits = sum(truth.get(i) in spans for i, spans in found.items())
+        return hits / max(1, sum(map(len, found.values()))), hits / len(truth)
+
+    once, full = named(1), named(pii.BOOTSTRAPS)
+    assert once[0] == 1.0 and once[1] == pytest.approx(0.4)  # of 50 hidden identifiers the 20 in seeded contexts
+    assert full == (1.0, 1.0)
+
+
+def test_patterns_in_blocks_name_the_same(spark, docs, monkeypatch):
+    rows, _ = bootstrap_corpus()
+    want = sorted(map(tuple, pii.find(docs(rows)).collect()))
+    monkeypatch.setattr(pii, "BLOCK", 2)
+    assert sorted(map(tuple, pii.find(docs(rows)).collect())) == want
+    assert any("ctx_" in r[-1] for r in want)
+
+
+def test_ordinary_words_speak_against_a_pattern(spark):
+    rows = [("l:go to", f"a{i}@b.c", 0) for i in range(6)] + [("l:go to", w, pii.ORDINARY) for w in ("the", "his", "bed")]
+    rows += [("l:write to", f"a{i}@b.c", 0) for i in range(6)]
+    got = pii.confident_patterns(spark.createDataFrame(rows, "pattern string, instance string, rule int")).collect()
+    assert [r["pattern"] for r in got] == ["l:write to"]
