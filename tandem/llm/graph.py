@@ -42,7 +42,8 @@ def components(edges: DataFrame, tag: str = "components", rounds: int = 50) -> D
 
     Each partition first contracts its own links. Then large-star and small-star steps alternate until the table is a
     set of stars. Minima are pre-aggregated, so a hub's links are joined by a split (skew) join but never gathered.
-    Nodes without links don't appear. Links with a null end and self-links are ignored; an empty table gives none.
+    The rounds needed grow with the logarithm of the longest chain; should `rounds` not do, a RuntimeError is raised
+    rather than a part of the result given. Nodes without links don't appear. Links with a null end and self-links are ignored; an empty table gives none.
     """
     both = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u is not null and v is not null and u <> v")
     e = staged(both.mapInArrow(_contract, "u long, v long").distinct(), tag)

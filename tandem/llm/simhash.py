@@ -6,7 +6,7 @@ searched by a Gray-order index: its fingerprints are sorted by Gray rank, sixtee
 bits on which all its members agree (mask and pattern), nodes form nodes in turn, and a search drops a whole node as
 soon as the differences accumulated on its mask exceed the distance. A bucket returns a spanning forest of its links,
 never all pairs. Buckets of more than `split_over` fingerprints are dealt out again by pairs of six bands of the bits
-that they don't share.
+that they don't share, up to LEVELS times: a bucket then shares so many bits that it can't hold more than 2 ** 13.
 """
 
 from __future__ import annotations
@@ -19,11 +19,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import lookup, staged, table, text_of
+from ._common import fresh, lookup, staged, table, text_of
 from .graph import components, min_labels
 
 SEED, SHINGLE, DISTANCE = 42, 4, 4
 FAN, SMALL, SPLIT_OVER, SLAB = 16, 256, 4096, 1 << 18
+#: Times that fingerprints are dealt to buckets: free bits fall from 64 to about 43, 29, 19 and 13.
+LEVELS = 4
+#: A fingerprint that more rows hold is joined by broadcast; there are at most rows / HOT_ROWS of these.
+HOT_ROWS = 50_000
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -201,32 +205,44 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _buckets(level: str, masks: list[int]) -> Column:
-    return F.array(*[F.struct(F.lit(m).alias("tab"), F.xxhash64(F.lit(level), F.lit(m), F.col("fp").bitwiseAND(F.lit(_signed(mask)))).alias("bucket")) for m, mask in enumerate(masks)])
+def _buckets(masks: list[int]) -> Column:
+    return F.array(*[F.struct(F.lit(_signed(mask)).alias("mask"), F.xxhash64(F.lit("a"), F.lit(m), F.col("fp").bitwiseAND(F.lit(_signed(mask)))).alias("bucket")) for m, mask in enumerate(masks)])
 
 
-def _refined(masks: list[int]) -> Column:
-    """For each first-level table: buckets over pairs of bands of the bits that its buckets leave free."""
-    free = [_pairs_of_bands([i for i in range(64) if not mask >> i & 1]) for mask in masks]
-    found = F.lit(None)
-    for m, sub in enumerate(free):
-        found = F.when(F.col("tab") == m, F.array(*[F.xxhash64(F.col("bucket"), F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(x)))) for k, x in enumerate(sub)])).otherwise(found)
-    return found
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit mix of each value, by multiplications and shifts."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def _refined(batches):
+    """Each row once for each pair of bands of the bits that its bucket leaves free: ident, fp, mask and bucket anew."""
+    for b in batches:
+        ident, fp, mask, bucket = (b.column(c).to_numpy() for c in ("ident", "fp", "mask", "bucket"))
+        for shared in np.unique(mask):  # at most 15 a level before, each level by 15
+            at = mask == shared
+            x, own = fp[at].view(np.uint64), _mixed(bucket[at].view(np.uint64))
+            for k, sub in enumerate(_pairs_of_bands([i for i in range(64) if not int(shared) >> i & 1])):
+                new = _mixed(own + _mixed((x & np.uint64(sub)) + np.uint64(k + 1)))
+                wider = np.full(len(x), _signed((int(shared) & ((1 << 64) - 1)) | sub), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ident[at]), pa.array(fp[at]), pa.array(wider), pa.array(new.view(np.int64))], names=["ident", "fp", "mask", "bucket"])
 
 
 def links(points: DataFrame, split_over: int = SPLIT_OVER) -> DataFrame:
     """Edges (u, v) of ids whose fingerprints link, enough to join all that are linked. points: ident long, fp long, each fp once."""
-    masks = _pairs_of_bands(list(range(64)))
-    first = points.select("ident", "fp", F.explode(_buckets("a", masks)).alias("b")).select("ident", "fp", "b.tab", "b.bucket")
-    heavy = staged(first.groupBy("bucket").count().where(F.col("count") > split_over).select("bucket"), "simhash-heavy")
-    n = heavy.count()
-    light = first
-    if n:
-        light = first.join(lookup(heavy, n), "bucket", "left_anti").select("ident", "fp", "bucket")
-        again = first.join(lookup(heavy, n), "bucket", "left_semi").select("ident", "fp", F.explode(_refined(masks)).alias("bucket"))
-        light = light.unionByName(again)
-    dealt = light.select("bucket", "fp", "ident").repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_link_batches, "u long, v long").distinct()
+    dealt = points.select("ident", "fp", F.explode(_buckets(_pairs_of_bands(list(range(64))))).alias("b")).select("ident", "fp", "b.mask", "b.bucket")
+    light = None
+    for level in range(LEVELS):
+        heavy = staged(dealt.groupBy("bucket").count().where(F.col("count") > split_over).select("bucket"), "simhash-heavy")
+        n = heavy.count() if level + 1 < LEVELS else 0
+        part = (dealt.join(lookup(heavy, n), "bucket", "left_anti") if n else dealt).select("bucket", "fp", "ident")
+        light = part if light is None else light.unionByName(part)
+        if not n:
+            break
+        again = dealt.join(lookup(heavy, n), "bucket", "left_semi").select("ident", "fp", "mask", "bucket")
+        dealt = staged(again.mapInArrow(_refined, "ident long, fp long, mask long, bucket long"), "simhash-refined")
+    return light.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_link_batches, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -237,27 +253,60 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     together; it is null if no row with an id shares the fingerprint. Repeated rows stay repeated. Empty in, empty out.
     """
     fps = staged(fingerprints(docs), "simhash-fps")
-    points = staged(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("ident")), "simhash-points")
-    root = components(links(points), "simhash-components")
-    joined = points.join(root, points["ident"] == root["node"], "left").select("fp", F.coalesce("root", "ident").alias("component_id"))
-    return fps.join(joined, "fp", "left").select("doc_id", "version", "fp", "component_id")
+    parts = _parts(fps)
+    hot = parts.where(F.col("n") > HOT_ROWS).select("fp", "component_id")
+    if hot.isEmpty():
+        joined = fps.join(parts.select("fp", "component_id"), "fp", "left")
+    else:  # at most rows / HOT_ROWS of them; the rest has no key that fills a task
+        rest = fps.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(parts.where(F.col("n") <= HOT_ROWS).select("fp", "component_id"), "fp", "left")
+        joined = fps.join(F.broadcast(hot), "fp").unionByName(rest)
+    return joined.select("doc_id", "version", "fp", "component_id")
+
+
+def _parts(fps: DataFrame) -> DataFrame:
+    """Each fingerprint of a row with an id: fp, n rows, first (doc_id, version), root, component_id and the component's first row.
+
+    Fingerprints, not ids, are the nodes that links join, so texts that share an id are not taken for one.
+    """
+    points = staged(fps.where("doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "version")).alias("first"), F.count(F.lit(1)).alias("n")), "simhash-points")
+    root = components(links(points.select(F.col("fp").alias("ident"), "fp")), "simhash-components")
+    rooted = staged(points.join(root, points["fp"] == root["node"], "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
+    least = rooted.groupBy("root").agg(F.min("first").alias("kept"))
+    return staged(rooted.join(least, "root").select("fp", "n", "root", "kept", F.col("kept.doc_id").alias("component_id")), "simhash-parts")
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """One row of docs for each group of near duplicates: the one whose doc_id is the group's component_id.
+    """One row of docs for each group of near duplicates: that of the smallest doc_id, of its texts the one of smallest hash.
 
-    A row without id goes if its group has one with an id, and stays otherwise. Of rows repeated in full, one stays.
+    Two texts under one id stay both if they aren't near. A row without id goes if its group has one with an id, and
+    stays otherwise. Of rows that repeat both id and text, one stays. Columns pass through, whatever their names.
     """
-    found = staged(near_duplicates(docs), "simhash-found")
-    key = [F.col("doc_id").eqNullSafe(F.col("_sh_id")), F.xxhash64(text_of()) == F.col("_sh_version")]
-    named = [F.col("doc_id").alias("_sh_id"), F.col("version").alias("_sh_version")]
-    gone = found.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(*named).distinct()
-    kept = docs.join(lookup(gone, found.where("doc_id <> component_id or (doc_id is null and component_id is not null)").count()), key, "left_anti")
-    twins = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_sh_id"))
-    if twins.isEmpty():
-        return kept
-    on = F.col("doc_id") == F.col("_sh_id")
-    return kept.join(twins, on, "left_anti").unionByName(kept.join(twins, on, "left_semi").dropDuplicates(["doc_id"]))
+    fps = staged(fingerprints(docs), "simhash-fps")
+    parts = _parts(fps)
+    kept = staged(parts.select("root", "kept").distinct().select("kept.doc_id", "kept.version"), "simhash-kept")
+    own, version = fresh(docs.columns, "id", "version")
+    named = kept.select(F.col("doc_id").alias(own), F.col("version").alias(version))
+    rows = fps.agg(F.count(F.lit(1)), F.count("doc_id")).first()
+    key = [F.col("doc_id").cast("long") == F.col(own), F.xxhash64(text_of()) == F.col(version)]
+    n = kept.count()
+    texts = staged(fps.where("doc_id is not null").groupBy("doc_id", "version").agg(F.count(F.lit(1)).alias("n")), "simhash-texts")
+    gone = staged(texts.join(kept, ["doc_id", "version"], "left_anti").select(F.col("doc_id").alias(own), F.col("version").alias(version)), "simhash-gone")
+    some = gone.count()
+    # Whichever list is short enough to be sent to the rows is used; beyond, the shorter one is shuffled.
+    if some <= n:
+        out = docs.where("doc_id is not null").join(lookup(gone, some), key, "left_anti")
+    else:
+        out = docs.where("doc_id is not null").join(lookup(named, n), key, "left_semi")
+    twins = staged(texts.where("n > 1").join(kept, ["doc_id", "version"], "left_semi").select(F.col("doc_id").alias(own), F.col("version").alias(version)), "simhash-twins")
+    doubled = twins.count()
+    if doubled:
+        pair = out.join(lookup(twins, doubled), key, "left_semi")
+        single = out.join(lookup(twins, doubled), key, "left_anti")
+        out = single.unionByName(pair.withColumn(version, F.xxhash64(text_of())).dropDuplicates(["doc_id", version]).drop(version))
+    if rows[0] > rows[1]:  # rows without id
+        lone = staged(fps.where("doc_id is null").select("version", "fp").distinct().join(parts.select("fp"), "fp", "left_anti").select(F.col("version").alias(version)), "simhash-lone")
+        out = out.unionByName(docs.where("doc_id is null").join(lookup(lone, lone.count()), F.xxhash64(text_of()) == F.col(version), "left_semi"))
+    return out
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

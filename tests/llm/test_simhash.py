@@ -119,3 +119,35 @@ def test_query_against_brute_force(spark):
     fps = [(i, plain_simhash(t)) for i, t in texts.items()]
     assert {r["doc_id"]: r["fingerprint"] for r in got} == {i: f"{x:016x}" for i, x in fps}
     assert {r["doc_id"]: r["component_id"] for r in got} == plain_components(fps)
+
+
+def test_two_texts_under_one_id_both_stay(spark, docs):
+    rng = random.Random(21)
+    a, b, c = (words(rng, 200) for _ in range(3))
+    rows = [(5, a), (5, b), (8, a), (9, b), (5, a), (2, c), (None, c), (None, "no one has this")]
+    frame = docs(rows).withColumn("id", F.lit("clash")).withColumn("version", F.lit(3)).withColumn("_sh_id", F.lit(4)).withColumn("component_id", F.lit(5))
+    got = sorted(((r["doc_id"], r["text"]) for r in simhash.distinct_documents(frame).collect()), key=str)
+    assert got == sorted([(5, a), (5, b), (2, c), (None, "no one has this")], key=str)
+    found = simhash.near_duplicates(frame).collect()
+    assert {r["component_id"] for r in found if r["doc_id"] in (5, 8, 9)} == {5}
+    assert simhash.distinct_documents(frame).columns == frame.columns
+
+
+@pytest.mark.parametrize("hot", [3, 50_000])
+def test_hot_fingerprints_get_the_same_components(spark, docs, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT_ROWS", hot)
+    rng = random.Random(22)
+    base = words(rng, 300)
+    rows = [(i, base) for i in range(40)] + [(100 + i, words(rng, 50)) for i in range(30)] + [(200 + i, "") for i in range(20)] + [(None, base)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs(rows)).collect()}
+    want = plain_components([(i, plain_simhash(t)) for i, t in rows if i is not None])
+    assert got == {**want, None: 0} and len(got) == 91
+
+
+def test_crowded_buckets_are_dealt_out_to_the_last_level(spark):
+    rng = random.Random(23)
+    loose = rng.sample(range(64), 14)
+    fps = sorted({sum(1 << b for b in loose if rng.random() < 0.5) for _ in range(900)})
+    rows = [(i, x - (1 << 64) if x >> 63 else x) for i, x in enumerate(fps)]
+    found = {r["node"]: r["root"] for r in graph.components(simhash.links(spark.createDataFrame(rows, "ident long, fp long"), 50)).collect()}
+    assert {i: found.get(i, i) for i, _ in rows} == plain_components(list(enumerate(fps)))
