@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ._common import WORD, join_lookup, staged, table, text_of
+from ._common import WORD, fresh, join_lookup, staged, table, text_of
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST_REPEATS = 3
@@ -138,54 +138,60 @@ def taken() -> Column:
     return F.col("repeats") * F.col("size") + extra
 
 
-def _slices(batches):
-    """For each row: its whole text, `repeats` times, then the runs of words in its extra blocks."""
-    for batch in batches:
-        for k in range(0, batch.num_rows, 256):
-            part = batch.slice(k, 256)
-            at, texts = [], []
-            for i, (text, repeats, runs) in enumerate(zip(*(part.column(c).to_pylist() for c in ("text", "_mx_repeats", "_mx_runs")))):
-                found = [text] * repeats
-                if runs:
-                    merged = []
-                    for r in runs:
-                        if merged and merged[-1][1] == r["a"]:
-                            merged[-1][1] = r["b"]
-                        elif r["b"] > r["a"]:
-                            merged.append([r["a"], r["b"]])
-                    spans = [m.span() for m in _WORDS.finditer(text)] if merged else []
-                    found += [text if b - a == len(spans) else text[spans[a][0] : spans[b - 1][1]] for a, b in merged]
-                at += [i] * len(found)
-                texts += found
-            rows = part.take(pa.array(at, pa.int64()))
-            names = [c for c in part.schema.names if not c.startswith("_mx_")]
-            new = {"text": texts, "n_chars": list(map(len, texts))}
-            columns = [pa.array(new[c], part.schema.field(c).type) if c in new else rows.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+def _slices(times: str, runs_name: str):
+    """For each row: its whole text, as often as the column `times` says, then the runs of words in its extra blocks."""
+
+    def slices(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                at, texts = [], []
+                for i, (text, repeats, runs) in enumerate(zip(*(part.column(c).to_pylist() for c in ("text", times, runs_name)))):
+                    found = [text] * repeats
+                    if runs:
+                        merged = []
+                        for r in runs:
+                            if merged and merged[-1][1] == r["a"]:
+                                merged[-1][1] = r["b"]
+                            elif r["b"] > r["a"]:
+                                merged.append([r["a"], r["b"]])
+                        spans = [m.span() for m in _WORDS.finditer(text)] if merged else []
+                        found += [text if b - a == len(spans) else text[spans[a][0] : spans[b - 1][1]] for a, b in merged]
+                    at += [i] * len(found)
+                    texts += found
+                rows = part.take(pa.array(at, pa.int64()))
+                names = [c for c in part.schema.names if c not in (times, runs_name)]
+                new = {"text": texts, "n_chars": list(map(len, texts))}
+                columns = [pa.array(new[c], part.schema.field(c).type) if c in new else rows.column(c) for c in names]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return slices
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
     """docs as the mix takes them: a document taken more than once is repeated, of one taken in part the taken words stay.
 
-    Texts without words (null ones too) are never taken. Rows that agree in id and text are planned once each, and all
-    of them are taken as the sum of their plans says, so words are neither lost nor doubled. Columns pass through;
-    n_chars, where there is one, follows the text. Empty in, empty out.
+    Texts without words (null ones too) are never taken. Rows that agree in id, source and text are planned once each and
+    numbered by a seeded hash of all their columns, so reruns give each of them the same part; together they give what
+    the plan takes. Very long texts are cut at words. Columns pass through, whatever their names; n_chars, where there is
+    one, follows the text. Empty in, empty out.
     """
     schema = docs.schema
+    doc, source, version, times, runs, number, own, mine = fresh(docs.columns, "mx_doc_id", "mx_source", "mx_version", "mx_repeats", "mx_runs", "mx_twin", "mx_v", "mx_t")
     chosen = plan(docs.select("doc_id", "source", "text"), weights, seed).where("size > 0")
-    chosen = chosen.select("doc_id", "source", "version", F.col("repeats").alias("_mx_repeats"), _extra_blocks().alias("_mx_runs"))
-    keys = ["doc_id", "source", "version"]
-    twin = Window.partitionBy(*keys).orderBy("_mx_repeats", "_mx_runs")
-    chosen = chosen.withColumn("_mx_twin", F.row_number().over(twin)).where("_mx_repeats > 0 or size(_mx_runs) > 0").withColumnsRenamed({c: f"_mx_{c}" for c in keys})
-    again = staged(chosen.groupBy("_mx_doc_id", "_mx_source", "_mx_version").agg(F.max("_mx_twin").alias("n")).where("n > 1"), "mix-twins")
-    texts = docs.withColumn("_mx_v", F.xxhash64(text_of()))
-    if again.count():  # rows that repeat in full: number them alike on both sides
-        texts = texts.withColumn("_mx_t", F.row_number().over(Window.partitionBy("doc_id", "source", "_mx_v").orderBy(F.lit(0))))
+    chosen = chosen.select(F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("version").alias(version), F.col("repeats").alias(times), _extra_blocks().alias(runs))
+    chosen = chosen.withColumn(number, F.row_number().over(Window.partitionBy(doc, source, version).orderBy(times, runs)))
+    chosen = chosen.where((F.col(times) > 0) | (F.size(runs) > 0))
+    again = staged(chosen.groupBy(doc, source, version).agg(F.max(number).alias("n")).where("n > 1"), "mix-twins")
+    texts = docs.withColumn(own, F.xxhash64(text_of()))
+    if again.count():  # rows that agree: number them on this side too
+        whole = F.to_json(F.struct(*docs.columns))
+        texts = texts.withColumn(mine, F.row_number().over(Window.partitionBy("doc_id", "source", own).orderBy(F.xxhash64(F.lit(seed), whole), whole)))
     else:
-        texts = texts.withColumn("_mx_t", F.lit(1))
-    same = F.col("doc_id").eqNullSafe(F.col("_mx_doc_id")) & F.col("source").eqNullSafe(F.col("_mx_source")) & (F.col("_mx_v") == F.col("_mx_version")) & (F.col("_mx_t") == F.col("_mx_twin"))
-    joined = texts.join(chosen.hint("shuffle_hash"), same).drop("_mx_doc_id", "_mx_source", "_mx_version", "_mx_v", "_mx_t", "_mx_twin")
-    return joined.mapInArrow(_slices, schema)
+        texts = texts.withColumn(mine, F.lit(1))
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(own) == F.col(version)) & (F.col(mine) == F.col(number))
+    joined = texts.join(chosen.hint("shuffle_hash"), same).drop(doc, source, version, own, mine, number)
+    return joined.mapInArrow(_slices(times, runs), schema)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
