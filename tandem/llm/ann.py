@@ -2,7 +2,7 @@
 
 Vectors get one more component that makes their lengths equal, so the largest inner product is the nearest point. Lists
 are k-means cells of a bounded sample; how many lists a query probes is calibrated on that sample. Within a probed list
-the randomly rotated vectors are read in blocks of columns: after t of D columns a candidate is dropped if its partial
+the randomly rotated vectors, stored in blocks of columns, are read block by block: after t of D columns a candidate is dropped if its partial
 squared distance, scaled by D / t, exceeds the query's bound by more than the test's margin (1 + epsilon / sqrt(t))^2.
 The bound is the distance of the k-th nearest sampled vector in the probed lists. Survivors are scored on the original
 vectors in double precision. A query that is left with too few is searched again in all lists and without a bound.
@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ._common import staged, table
@@ -29,8 +30,8 @@ SAMPLE = 20_000
 MOST_LISTS = 4096
 #: ... and probes as many of them as give this recall between the sample's own vectors.
 CALIBRATED_RECALL, CALIBRATION_QUERIES = 0.96, 256
-#: Vectors of a list that one task searches at once; longer lists are dealt out by a hash.
-CHUNK = 8192
+#: Vectors of a list, and queries that probe it, that one task takes at once; longer lists of either are dealt out by a hash.
+CHUNK, QUERY_CHUNK = 8192, 32_768
 COLUMNS, EPSILON = 16, 2.1
 
 
@@ -46,18 +47,31 @@ def _vectors(column: pa.Array) -> list[np.ndarray | None]:
     return out
 
 
-def _prepared(batches):
-    for b in batches:
-        kept = [(i, x) for i, x in zip(b.column("vec_id").to_pylist(), _vectors(b.column("embedding"))) if x is not None and i is not None]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([i for i, _ in kept], pa.int64()), pa.array([x.tobytes() for _, x in kept], pa.binary()), pa.array([float(x @ x) for _, x in kept], pa.float64())],
-            names=["vec_id", "vec", "norm2"],
-        )
+def _prepared(dtype: str):
+    def batches(it):
+        for b in it:
+            kept = [(i, x) for i, x in zip(b.column("vec_id").to_pylist(), _vectors(b.column("embedding"))) if x is not None and i is not None]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([i for i, _ in kept], pa.int64()), pa.array([x.astype(dtype).tobytes() for _, x in kept], pa.binary()), pa.array([float(x @ x) for _, x in kept], pa.float64())],
+                names=["vec_id", "vec", "norm2"],
+            )
 
+    return batches
 
-def _matrix(values) -> np.ndarray:
+
+def _matrix(values, dtype: str = "<f8") -> np.ndarray:
     values = list(values)
-    return np.frombuffer(b"".join(values), "<f8").reshape(len(values), -1)
+    return np.frombuffer(b"".join(values), dtype).reshape(len(values), -1).astype(np.float64, copy=False)
+
+
+class Blocks:
+    """Rotated vectors as stored, a column of bytes for each block of COLUMNS dimensions; a block is decoded when it is read."""
+
+    def __init__(self, columns: list):
+        self.columns, self.shape = columns, (len(columns[0]), 0)
+
+    def block(self, k: int) -> np.ndarray:
+        return _matrix(self.columns[k], "<f4")
 
 
 @dataclass
@@ -124,23 +138,29 @@ def fit(sample: np.ndarray, rows: int, radius2: float, k: int = K, seed: int = S
     return index
 
 
-def scan_list(points: np.ndarray, queries: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(query, point) pairs that no test abandons. Blocks of columns are dense until a tenth of the pairs is left."""
-    dim = points.shape[1]
-    partial = np.zeros((len(queries), len(points)))
+def scan_list(points: np.ndarray | Blocks, queries: np.ndarray, bound: np.ndarray, slack: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
+    """(query, point) pairs that no test abandons. Blocks of columns are dense until a tenth of the pairs is left.
+
+    slack: what rounding of the points may add to a squared distance.
+    """
+    dim = queries.shape[1]
+    partial = np.zeros((len(queries), points.shape[0]))
     i = j = None
-    for a in range(0, dim, COLUMNS):
+    for k, a in enumerate(range(0, dim, COLUMNS)):
         b = min(dim, a + COLUMNS)
-        margin = bound * (b / dim) * ((1 + EPSILON / b**0.5) ** 2 if b < dim else 1) + 1e-9
+        margin = bound * (b / dim) * ((1 + EPSILON / b**0.5) ** 2 if b < dim else 1) + slack
+        if i is not None and not len(i):
+            break
+        p = points.block(k) if isinstance(points, Blocks) else points[:, a:b]
         if i is None:
-            p, q = points[:, a:b], queries[:, a:b]
+            q = queries[:, a:b]
             partial += (q * q).sum(1)[:, None] + (p * p).sum(1) - 2 * (q @ p.T)
             alive = partial <= margin[:, None]
             if b == dim or np.count_nonzero(alive) * 10 <= alive.size:
                 i, j = np.nonzero(alive)
                 left = partial[i, j]
         else:
-            d = points[j, a:b] - queries[i, a:b]
+            d = p[j] - queries[i, a:b]
             left = left + np.einsum("ij,ij->i", d, d)
             keep = left <= margin[i]
             i, j, left = i[keep], j[keep], left[keep]
@@ -165,53 +185,62 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, seed: int = SEED)
     """
     spark = vectors.sparkSession
     schema = "vec_id long, vec binary, norm2 double"
-    usable = staged(vectors.select("vec_id", "embedding").mapInArrow(_prepared, schema), "ann-vectors")
+    single = all(t.schema["embedding"].dataType == T.ArrayType(T.FloatType()) for t in (vectors, queries))
+    dtype = "<f4" if single else "<f8"
+    usable = staged(vectors.select("vec_id", "embedding").mapInArrow(_prepared(dtype), schema), "ann-vectors")
     rows, radius2 = usable.agg(F.count(F.lit(1)), F.max("norm2")).first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not rows:
         return empty
-    sample = usable.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(SAMPLE).collect()
+    order, some = F.xxhash64(F.lit(seed), "vec_id"), usable
+    if rows > 2 * SAMPLE:  # a threshold leaves a little more than the sample, so the driver never sorts more than that
+        some = usable.where(F.pmod(order, F.lit(1 << 30)) < int((1.2 * SAMPLE + 100) / rows * (1 << 30)) + 1)
+    sample = some.orderBy(order, "vec_id").limit(SAMPLE).collect()
     width = len(sample[0]["vec"])
-    index = fit(_matrix(r["vec"] for r in sample if len(r["vec"]) == width), rows, radius2, k, seed)
+    index = fit(_matrix((r["vec"] for r in sample if len(r["vec"]) == width), dtype), rows, radius2, k, seed)
     usable = usable.where(F.octet_length("vec") == width)
     sent = spark.sparkContext.broadcast(index)  # at most SAMPLE + MOST_LISTS vectors
+    slack = 1e-9 + 1e-6 * radius2  # blocks are stored in single precision
+    columns = [f"block{n}" for n in range(-(-len(index.rotation) // COLUMNS))]
 
     def assigned(batches):
         own = sent.value
         for b in batches:
-            if b.num_rows:
-                at = own.nearest(own.points(_matrix(b.column("vec").to_pylist())), 1)[:, 0]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("vec_id", "vec")), pa.array(at, pa.int64())], names=["vec_id", "vec", "list"])
+            for a in range(0, b.num_rows, 4096):
+                part = b.slice(a, 4096)
+                p = own.points(_matrix(part.column("vec").to_pylist(), dtype))
+                at = own.nearest(p, 1)[:, 0]
+                blocks = [pa.array([x.tobytes() for x in p[:, n * COLUMNS : (n + 1) * COLUMNS].astype("<f4")], pa.binary()) for n in range(len(columns))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("vec_id", "vec")), pa.array(at, pa.int64()), *blocks], names=["vec_id", "vec", "list", *columns])
 
     def probing(batches):
         own = sent.value
         for b in batches:
             for a in range(0, b.num_rows, 256):
                 part = b.slice(a, 256)
-                p = own.queries(_matrix(part.column("vec").to_pylist()))
+                p = own.queries(_matrix(part.column("vec").to_pylist(), dtype))
                 lists = own.nearest(p, own.probes)
                 yield pa.RecordBatch.from_arrays([*part.select(["query", "vec"]).columns, pa.array(own.bound(p, lists, k + 1)), pa.array(lists.tolist(), pa.list_(pa.int64()))], names=["query", "vec", "bound", "lists"])
 
     alike = Window.partitionBy("vec").orderBy("vec_id")
     distinct = usable.select("vec_id", "vec").distinct().withColumn("n", F.row_number().over(alike)).where(F.col("n") <= k + 1).drop("n")
-    stored = staged(distinct.mapInArrow(assigned, "vec_id long, vec binary, list long"), "ann-lists")
+    stored = staged(distinct.mapInArrow(assigned, ", ".join(["vec_id long, vec binary, list long", *(f"{c} binary" for c in columns)])), "ann-lists")
     chunks = stored.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))  # at most MOST_LISTS rows
-    stored = stored.join(F.broadcast(chunks), "list").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), "chunks")).drop("chunks")
 
-    asked = queries.select("vec_id", "embedding").mapInArrow(_prepared, schema).where(F.octet_length("vec") == width).select("vec_id", "vec").distinct()
+    asked = queries.select("vec_id", "embedding").mapInArrow(_prepared(dtype), schema).where(F.octet_length("vec") == width).select("vec_id", "vec").distinct()
     asked = staged(asked, "ann-queries")
     unique = asked.groupBy("vec").agg(F.min("vec_id").alias("query"))
-    probed = unique.select("query", "vec").mapInArrow(probing, "query long, vec binary, bound double, lists array<long>")
+    probed = staged(unique.select("query", "vec").mapInArrow(probing, "query long, vec binary, bound double, lists array<long>"), "ann-probes")
 
     def searched(key, queries_, vectors_):
         own, out = sent.value, []
         if len(queries_) and len(vectors_):
-            x = _matrix(vectors_["vec"])
-            points, ids = own.points(x), vectors_["vec_id"].to_numpy()
+            x = _matrix(vectors_["vec"], dtype)
+            points, ids = Blocks([vectors_[c] for c in columns]), vectors_["vec_id"].to_numpy()
             for a in range(0, len(queries_), 256):
                 part = queries_.iloc[a : a + 256]
-                q = _matrix(part["vec"])
-                i, j = scan_list(points, own.queries(q), part["bound"].to_numpy())
+                q = _matrix(part["vec"], dtype)
+                i, j = scan_list(points, own.queries(q), part["bound"].to_numpy(), slack)
                 score = np.concatenate([np.einsum("ij,ij->i", q[i[s : s + 65536]], x[j[s : s + 65536]]) for s in range(0, len(i), 65536)] or [np.zeros(0)])
                 asker = part["query"].to_numpy()[i]
                 best = _top(asker, ids[j], score, k + 1)
@@ -221,9 +250,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, seed: int = SEED)
     nearest = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
 
     def best_of(probed: DataFrame) -> DataFrame:
-        tasks = probed.select("query", "vec", "bound", F.explode("lists").alias("list")).join(F.broadcast(chunks), "list")
-        tasks = tasks.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("chunks")
-        hits = tasks.groupBy("list", "chunk").cogroup(stored.groupBy("list", "chunk")).applyInPandas(searched, "query long, vec_id long, score double")
+        visits = probed.select(F.explode("lists").alias("list")).groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_CHUNK).alias("parts"))
+        dealing = F.broadcast(chunks.join(visits, "list"))  # a row a list
+        tasks = probed.select("query", "vec", "bound", F.explode("lists").alias("list")).join(dealing, "list")
+        tasks = tasks.withColumn("part", F.pmod(F.xxhash64("query"), "parts")).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).drop("chunks", "parts")
+        points = stored.join(dealing, "list").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), "chunks")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("chunks", "parts")
+        hits = tasks.groupBy("list", "chunk", "part").cogroup(points.groupBy("list", "chunk", "part")).applyInPandas(searched, "query long, vec_id long, score double")
         return hits.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k + 1).drop("n")
 
     best = staged(best_of(probed), "ann-best")

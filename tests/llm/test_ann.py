@@ -85,3 +85,45 @@ def test_the_test_abandons_few_true_neighbours():
     kept = set(zip(i.tolist(), j.tolist()))
     true = {(a, b) for a in range(50) for b in np.flatnonzero(d[a] <= bound[a])}
     assert kept <= true and len(kept) / len(true) > 0.97
+
+
+def test_queries_of_a_list_are_dealt_out_too(spark, monkeypatch):
+    monkeypatch.setattr(ann, "QUERY_CHUNK", 7)
+    monkeypatch.setattr(ann, "CHUNK", 50)
+    rng = np.random.default_rng(18)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(300)]
+    got = result(ann.search(frame(spark, rows), frame(spark, rows).where("vec_id % 5 = 0")))
+    assert len(got) == 60 and all(len(found) == 20 for found in got.values())
+    hits = sum(len({i for _, i in nearest(rows, q)} & {i for _, i, _ in found}) for q, found in got.items())
+    assert hits / 1200 >= 0.9
+
+
+def test_double_precision_vectors(spark):
+    rng = np.random.default_rng(19)
+    x = rng.normal(size=(200, 5))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = result(ann.search(vectors, vectors.where("vec_id % 20 = 0")))
+    for q, found in got.items():
+        for _, i, s in found:
+            assert s == pytest.approx(float(x[i] @ x[q]), abs=1e-12)
+
+
+def test_the_driver_gets_a_bounded_sample(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 300)
+    rng = np.random.default_rng(20)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(1500)]
+    got = result(ann.search(frame(spark, rows), frame(spark, rows).where("vec_id % 20 = 0")))
+    hits = sum(len({i for _, i in nearest(rows, q)} & {i for _, i, _ in found}) for q, found in got.items())
+    assert hits / (75 * 20) >= 0.85  # a fifth of the rows is a small sample to calibrate on
+
+
+def test_query_recall_against_brute_force(spark):
+    path = "/root/testdata/sf0.01"
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{path}/embeddings.parquet").collect()]
+    got = result(ann.op5_ann(spark, path))
+    hits = total = 0
+    for q, found in got.items():
+        want = nearest(rows, q)
+        total += len(want)
+        hits += len({i for _, i in want} & {i for _, i, _ in found})
+    assert len(got) == sum(i % 20 == 0 for i, _ in rows) and hits / total >= 0.9
