@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, join_lookup, lookup, staged, table, text_of
+from ._common import ascii_lower, fresh, join_lookup, lookup, staged, table, text_of
 
 SPACE = "\x20\t\n\x0b\x0c\r"
 KEY_CHARS, MIN_DOCS = 40, 5
@@ -51,16 +51,18 @@ def dedup_lines(docs: DataFrame, key_chars: int = KEY_CHARS, min_docs: int = MIN
     """
     gone = staged(dropped_positions(docs.select("doc_id", "text"), key_chars, min_docs), "lines-gone")
     n = gone.count()
-    per = gone.groupBy("doc_id", "version").agg(F.sort_array(F.collect_list("pos")).alias("_ld_gone"))
-    per = per.select(F.col("doc_id").alias("_ld_id"), F.col("version").alias("_ld_version"), "_ld_gone")
+    own_id, own_version, places, mine = fresh(docs.columns, "ld_id", "ld_version", "ld_gone", "ld_v")
+    per = gone.groupBy("doc_id", "version").agg(F.sort_array(F.collect_list("pos")).alias(places))
+    per = per.select(F.col("doc_id").alias(own_id), F.col("version").alias(own_version), places)
     lines = _lines(text_of())
-    joined = docs.drop("n_lines", "n_dropped").withColumn("_ld_v", F.xxhash64(text_of())).join(lookup(per, n, BROADCAST_POSITIONS), (F.col("doc_id") == F.col("_ld_id")) & (F.col("_ld_v") == F.col("_ld_version")), "left")
-    edges = F.concat(F.array(F.lit(-1)), F.col("_ld_gone"), F.array(F.size(lines)))
-    bounds = F.zip_with(F.slice(edges, F.lit(1), F.size("_ld_gone") + 1), F.slice(edges, F.lit(2), F.size("_ld_gone") + 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    kept_names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    joined = docs.select(*kept_names).withColumn(mine, F.xxhash64(text_of())).join(lookup(per, n, BROADCAST_POSITIONS), (F.col("doc_id") == F.col(own_id)) & (F.col(mine) == F.col(own_version)), "left")
+    edges = F.concat(F.array(F.lit(-1)), F.col(places), F.array(F.size(lines)))
+    bounds = F.zip_with(F.slice(edges, F.lit(1), F.size(places) + 1), F.slice(edges, F.lit(2), F.size(places) + 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     kept = F.flatten(F.transform(bounds, lambda x: F.slice(lines, x["a"] + 2, x["b"] - x["a"] - 1)))
-    text = F.when(F.col("_ld_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    kept_columns = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return joined.select(*kept_columns, F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("_ld_gone"), F.lit(0)).cast("long").alias("n_dropped"))
+    text = F.when(F.col(places).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    columns = [text.alias("text") if c == "text" else F.col(c) for c in kept_names]
+    return joined.select(*columns, F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size(places), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -223,7 +223,11 @@ def payload_of(text: str | None) -> bytes:
 
 
 def media_column(docs: DataFrame, column: str = "media") -> DataFrame:
-    """docs with a binary column of Matroska files of their texts; null texts are empty. A column of that name is replaced."""
+    """docs with a binary column of Matroska files of their texts. A column of that name is replaced, others pass through.
+
+    Null and empty texts give a payload of blanks, rows that repeat a text the same file each, very long texts many
+    clusters; a file is held whole in memory, once as samples and once as bytes. Empty in, empty out.
+    """
     docs = docs.drop(column)
     names = docs.columns
     schema = docs.select(*names, F.lit(b"").alias(column)).schema

@@ -67,3 +67,13 @@ def test_empty_table(spark, docs):
 def test_plan_has_no_python(spark):
     plan = linededup.op10_line_dedup(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_reserved_names_do_not_clash(spark, docs):
+    rows = [(i, "z" * 50 + f"\nown {i}") for i in range(6)]
+    frame = docs(rows)
+    for name in ("_ld_gone", "ld_gone", "_ld_id", "ld_id", "ld_v", "LD_version"):
+        frame = frame.withColumn(name, F.lit("clash"))
+    out = linededup.dedup_lines(frame)
+    assert out.columns == [*frame.columns, "n_lines", "n_dropped"] and out.where("ld_gone = 'clash'").count() == 6
+    assert got(frame) == plain(rows)
