@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import staged, table, text_of
+from ._common import lookup, staged, table, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of bootstrapping, and of scoring in each; the least known instances and confidence of a pattern; pseudo-counts.
 BOOTSTRAPS, ROUNDS, LEAST_SEEDS, CONFIDENT, SHRINK = 3, 3, 5, 0.8, 1.0
+#: A pattern must hold this share of its kind's known instances too, so that chance contexts don't pass in a large corpus.
+LEAST_SHARE = 1e-3
 #: What a stranger, an instance that no pattern vouches for, counts against its pattern.
 DOUBT = 0.5
 #: What may be an unseen identifier: a token of this length at least that isn't an ordinary word.
@@ -40,7 +42,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TOKEN = re.compile(r"\w[\w@._+/%-]*")
+_TOKEN = re.compile(r"\w(?:[\w@._+/%-]*\w)?")
 _STOP = re.compile(r"[.!?\n]")
 _LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 
@@ -98,10 +100,9 @@ def tokens(text: str, a: int = 0, b: int | None = None) -> tuple[list[int], list
             continue  # begins before a
         if m.end() == b < len(text) and (text[b].isalnum() or text[b] in "_@.+/%-"):
             continue  # goes on after b
-        word = m.group().rstrip("@.+/%-")
         starts.append(m.start())
-        ends.append(m.start() + len(word))
-        words.append(word.lower())
+        ends.append(m.end())
+        words.append(m.group().lower())
     return starts, ends, words
 
 
@@ -166,48 +167,124 @@ def _seeds(batches):
         yield _edges(found)
 
 
-def _edges(found) -> pa.RecordBatch:
-    pattern, instance, rule = zip(*found) if found else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(pattern, pa.string()), pa.array(instance, pa.string()), pa.array(rule, pa.int32())], names=["pattern", "instance", "rule"])
+class Screen:
+    """Tells texts that can hold one of the patterns, by the pairs of words that these ask for, from the many that can't."""
+
+    def __init__(self, patterns):
+        split = [(p[0], *p[2:].split(" ")[:: 2 if p[0] == "b" else 1]) for p in patterns]  # words hold no blanks
+        self.near = {(x, y) for kind, x, y in split if kind != "b"}
+        self.wide = {(x, y) for kind, x, y in split if kind == "b"}
+
+    def passes(self, words: list[str]) -> bool:
+        return not self.near.isdisjoint(zip(words, words[1:])) or any(not self.wide.isdisjoint(zip(words, words[k:])) for k in (1, 2) if self.wide)
+
+
+def _words(text: str) -> list[str]:
+    return [w.lower() for w in _TOKEN.findall(text)]
+
+
+def _around_entities(text: str, base: list[tuple[int, int, int]]):
+    for a, kind, e in base:
+        yield a, e, kind, patterns_at(text, a, e, tokens(text, max(0, a - _REACH), min(len(text), e + _REACH)))
+
+
+def _in_patterns(sent):
+    """(pattern, instance, rule) of the slots in the sent patterns, once a batch.
+
+    sent: the ordinary words that a pattern may hold and still become confident; with more of them the task has proof
+    that it can't, and looks for it no more.
+    """
+
+    def batches(it):
+        active, words_of = dict(sent.value), {}
+        screen = Screen(active)
+        for b in it:
+            found = set()
+            for text in b.column("text") if active else ():
+                text = text.as_py()
+                base = base_spans(text)
+                if screen.passes(_words(text)):
+                    at = tokens(text)
+                    hits = ((a, e, kind, patterns_at(text, a, e, at)) for a, e, kind in slots(text, base, at))
+                else:  # an entity of several tokens may still part the words of a pattern
+                    hits = _around_entities(text, base)
+                proved = 0
+                for a, e, kind, patterns in hits:
+                    for p in patterns:
+                        if p in active:
+                            found.add((p, text[a:e].lower(), kind))
+                            if kind == ORDINARY:
+                                held = words_of.setdefault(p, set())
+                                held.add(text[a:e].lower())
+                                if len(held) > active[p]:
+                                    del active[p], words_of[p]
+                                    proved += 1
+                if proved:
+                    screen = Screen(active)
+            yield _edges(found)
 
+    return batches
 
-def _met(known_patterns, known_instances):
-    """(pattern, instance, rule) of the slots that hold one of the instances or stand in one of the patterns, once a batch."""
+
+def _of_instances(sent):
+    """(pattern, instance, rule) of the strangers among the sent instances, once a batch."""
 
     def batches(it):
-        patterns, instances = known_patterns.value, known_instances.value
+        instances = sent.value
         for b in it:
             found = set()
             for text in b.column("text"):
                 text = text.as_py()
-                at = tokens(text)
-                for a, e, kind in slots(text, base_spans(text), at):
-                    known = patterns_at(text, a, e, at) if patterns else []
-                    found.update((p, text[a:e].lower(), kind) for p in known if p in patterns)
-                    if kind == STRANGER and text[a:e].lower() in instances:
-                        found.update((p, text[a:e].lower(), kind) for p in known or patterns_at(text, a, e, at))
+                if not instances.isdisjoint(_words(text)):
+                    at = tokens(text)
+                    for a, e, kind in slots(text, base_spans(text), at):
+                        if kind == STRANGER and text[a:e].lower() in instances:
+                            found.update((p, text[a:e].lower(), kind) for p in patterns_at(text, a, e, at))
             yield _edges(found)
 
     return batches
 
 
-def _blocks(spark: SparkSession, rows: DataFrame, column: str):
-    """The values of a column as broadcast sets of about BLOCK values each, so that one pass holds a bounded one."""
-    n = -(-rows.count() // BLOCK)
-    for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64(column), F.lit(n)) == k)
-        yield spark.sparkContext.broadcast(frozenset(r[0] for r in part.select(column).toLocalIterator()))
+def _edges(found) -> pa.RecordBatch:
+    pattern, instance, rule = zip(*found) if found else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(pattern, pa.string()), pa.array(instance, pa.string()), pa.array(rule, pa.int32())], names=["pattern", "instance", "rule"])
 
 
 EDGE = "pattern string, instance string, rule int"
 
 
-def meetings(texts: DataFrame, rows: DataFrame, column: str) -> DataFrame:
-    """Distinct (pattern, instance, rule) of all documents' slots that meet the patterns or instances in rows."""
+def _blocks(rows: DataFrame, column: str):
+    """rows in parts of about BLOCK, so that one pass over the documents holds a bounded broadcast."""
+    n = -(-rows.count() // BLOCK)
+    return [rows if n == 1 else rows.where(F.pmod(F.xxhash64(column), F.lit(n)) == k) for k in range(n)]
+
+
+def in_patterns(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Distinct (pattern, instance, rule) of all slots in patterns (pattern, seeds), without those proved to be hopeless.
+
+    A pattern with more ordinary words than its seeds / CONFIDENT leave room for can't become confident and is left out.
+    """
+    spark, out = texts.sparkSession, None
+    room = F.greatest(F.col("seeds") / CONFIDENT - F.col("seeds") - SHRINK, F.lit(0.0))
+    limits = patterns.select("pattern", room.alias("room"))
+    for block in _blocks(limits, "pattern"):
+        sent = spark.sparkContext.broadcast({r["pattern"]: r["room"] for r in block.toLocalIterator()})  # about BLOCK patterns
+        part = texts.select("text").mapInArrow(_in_patterns(sent), EDGE)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], EDGE)
+    out = staged(out.distinct(), "pii-slots")
+    words = out.where(F.col("rule") == ORDINARY).groupBy("pattern").agg(F.count(F.lit(1)).alias("words"))
+    hopeless = staged(words.join(limits, "pattern").where("words > room").select("pattern"), "pii-hopeless")
+    return out.join(lookup(hopeless, hopeless.count()), "pattern", "left_anti")
+
+
+def of_instances(texts: DataFrame, instances: DataFrame) -> DataFrame:
+    """Distinct (pattern, instance, rule) of all slots that hold one of the instances."""
     spark, out = texts.sparkSession, None
-    none = spark.sparkContext.broadcast(frozenset())
-    for block in _blocks(spark, rows, column):
-        part = texts.select("text").mapInArrow(_met(block, none) if column == "pattern" else _met(none, block), EDGE)
+    for block in _blocks(instances, "instance"):
+        sent = spark.sparkContext.broadcast(frozenset(r["instance"] for r in block.select("instance").toLocalIterator()))  # about BLOCK instances
+        part = texts.select("text").mapInArrow(_of_instances(sent), EDGE)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], EDGE) if out is None else out.distinct()
 
@@ -259,18 +336,22 @@ def bootstrap(docs: DataFrame, rounds: int = BOOTSTRAPS) -> DataFrame:
     """
     spark = docs.sparkSession
     induced = staged(docs.select("text").mapInArrow(_seeds, EDGE).distinct(), "pii-seeds")
+    sizes = {r["rule"]: r["count"] for r in induced.select("instance", "rule").distinct().groupBy("rule").count().collect()}  # a row a kind
+    least = F.lit(float(LEAST_SEEDS))
+    for rule, n in sorted(sizes.items()):
+        least = F.when(F.col("rule") == rule, max(float(LEAST_SEEDS), LEAST_SHARE * n)).otherwise(least)
     known = spark.createDataFrame([], "instance string, rule int, p double")
     edges, asked = spark.createDataFrame([], EDGE), spark.createDataFrame([], "pattern string")
     best = spark.createDataFrame([], "pattern string, rule int, conf double")
     for k in range(rounds):
         vouched = induced.join(known.select("instance", F.col("rule").alias("kind"), "p"), "instance", "left")
         kind, weight = F.when(F.col("rule") >= 0, F.col("rule")).otherwise(F.col("kind")), F.when(F.col("rule") >= 0, 1.0).otherwise(F.col("p"))
-        likely = vouched.groupBy("pattern", kind.alias("rule")).agg(F.sum(weight).alias("seeds")).where(F.col("seeds") >= LEAST_SEEDS)
-        new = staged(likely.select("pattern").distinct().join(asked, "pattern", "left_anti"), "pii-new")
+        likely = vouched.groupBy("pattern", kind.alias("rule")).agg(F.sum(weight).alias("seeds")).where(F.col("seeds") >= least)
+        new = staged(likely.groupBy("pattern").agg(F.max("seeds").alias("seeds")).join(asked, "pattern", "left_anti"), "pii-new")
         if new.isEmpty():
             break
-        asked = asked.unionByName(new)
-        edges = staged(edges.unionByName(meetings(docs, new, "pattern")), "pii-met")
+        asked = asked.unionByName(new.select("pattern"))
+        edges = staged(edges.unionByName(in_patterns(docs, new)), "pii-met")
         best = staged(_best(scored_patterns(edges, known)[0]), "pii-best")
         if k + 1 == rounds:
             break
@@ -278,7 +359,7 @@ def bootstrap(docs: DataFrame, rounds: int = BOOTSTRAPS) -> DataFrame:
         if found.isEmpty():
             break
         known = known.unionByName(found)
-        induced = staged(induced.unionByName(meetings(docs, found, "instance")).distinct(), "pii-induced")
+        induced = staged(induced.unionByName(of_instances(docs, found)).distinct(), "pii-induced")
     return best
 
 
@@ -296,9 +377,9 @@ _HITS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("rule",
 _HIT_ROWS = "doc_id long, text string, hits array<struct<start:int,end:int,rule:int,conf:double>>"
 
 
-def _hits(text: str, base: list[tuple[int, int, int]], known: dict[str, tuple[int, float]]):
+def _hits(text: str, base: list[tuple[int, int, int]], known: dict[str, tuple[int, float]], screen: Screen):
     """(start, end, rule, conf) of the strangers in known patterns, by the likeliest of them."""
-    at = tokens(text) if known else ([], [], [])
+    at = tokens(text) if known and screen.passes(_words(text)) else ([], [], [])
     for a, e, kind in slots(text, base, at):
         hits = [known[p] for p in patterns_at(text, a, e, at) if p in known] if kind == STRANGER else []
         if hits:
@@ -310,9 +391,10 @@ def _hit_batches(known_patterns):
 
     def batches(it):
         known = known_patterns.value
+        screen = Screen(known)
         for b in it:
             for doc, text, before in zip(b.column("doc_id"), b.column("text"), b.column("hits")):
-                hits = before.as_py() + [dict(zip(("start", "end", "rule", "conf"), h)) for h in _hits(text.as_py(), base_spans(text.as_py()), known)]
+                hits = before.as_py() + [dict(zip(("start", "end", "rule", "conf"), h)) for h in _hits(text.as_py(), base_spans(text.as_py()), known, screen)]
                 yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()], pa.int64()), pa.array([text.as_py()]), pa.array([hits], _HITS)], names=["doc_id", "text", "hits"])
 
     return batches
@@ -323,6 +405,7 @@ def _named(known_patterns):
 
     def batches(it):
         known = known_patterns.value
+        screen = Screen(known)
         names = (*KINDS, *(f"ctx_{kind}" for kind in KINDS))
         for b in it:
             for k in range(0, b.num_rows, 512):
@@ -332,7 +415,7 @@ def _named(known_patterns):
                     base = every = base_spans(text.as_py())
                     if known:
                         likeliest: dict[tuple[int, int], tuple[float, int]] = {}
-                        for a, e, rule, conf in [*((h["start"], h["end"], h["rule"], h["conf"]) for h in hits), *_hits(text.as_py(), base, known)]:
+                        for a, e, rule, conf in [*((h["start"], h["end"], h["rule"], h["conf"]) for h in hits), *_hits(text.as_py(), base, known, screen)]:
                             likeliest[a, e] = max(likeliest.get((a, e), (0.0, 0)), (conf, -rule))
                         every = sorted(base + [(a, len(KINDS) - rule, e) for (a, e), (_, rule) in likeliest.items()])
                     line = [",".join(f"{names[kind]}:{a}:{e}" for a, kind, e in spans) for spans in (base, every)]
