@@ -89,6 +89,7 @@ def half_even(x: Column, digits: int = 0) -> Column:
 
 def region_name(lon: Column, lat: Column, compact: bool = False) -> Column:
     """Named regions in order, else "(lon,lat)" without decimals."""
+    # The regions' limits and names.
     america, asia = ("N.America", "E.Asia") if compact else ("NorthAmerica", "EastAsia")
     whole = lambda x: half_even(x.cast("double")).cast("bigint").cast("string")
     return (

@@ -68,13 +68,16 @@ def band_pass(frame: DataFrame, low: int = 4, high: int = 8, z: str = "z", out:
 
     @F.pandas_udf("array<double>")
     def filtered(arrays: pd.Series) -> pd.Series:
-        def one(values):
-            spectrum = np.fft.rfft(np.asarray(values, float))
-            spectrum[:low] = 0
-            spectrum[high + 1 :] = 0
-            return np.fft.irfft(spectrum, n=len(values))
-
-        return arrays.map(one)
+        out, lengths = pd.Series([None] * len(arrays), index=arrays.index, dtype=object), arrays.map(len)
+        for n in lengths.unique():  # arrays of one length are transformed together
+            at = np.flatnonzero((lengths == n).to_numpy())
+            spectrum = np.fft.rfft(np.stack(arrays.iloc[at].to_numpy()).astype(float), axis=1)
+            spectrum[:, :low] = 0
+            spectrum[:, high + 1 :] = 0
+            waves = np.fft.irfft(spectrum, n=n, axis=1)
+            for k, wave in zip(at, waves):
+                out.iat[k] = wave
+        return out
 
     return frame.withColumn(out, filtered(z))
 

@@ -515,14 +515,14 @@ po as (select cluster, footprint, coalesce(sum(population), 0) as population fro
         "scenario_bundles": Q.query(*panel_sql, *_scenario_sql(), "dd as (select x.scenario, x.cluster, x.day, x.covered as fa, y.covered as fb from ok x join ok y on x.scenario = y.scenario and x.cluster = y.cluster and x.day = y.day where x.side = 'side_a' and y.side = 'side_b')", "nn as (select cluster, count(*) filter (where side = 'side_a') as nodes_a, count(*) filter (where side = 'side_b') as nodes_b from sd group by 1)", select="select s.scenario, nn.cluster, nodes_a, nodes_b, count(d.day) as date_count, coalesce(strftime(min(d.day), '%Y-%m-%d'), '') as first_date, coalesce(strftime(max(d.day), '%Y-%m-%d'), '') as last_date, round(median(fa), 8) as median_fraction_a, round(median(fb), 8) as median_fraction_b from sc s cross join nn left join dd d on d.scenario = s.scenario and d.cluster = nn.cluster group by 1, 2, 3, 4"),
         "scenario_trends": Q.query(*panel_sql, *_scenario_sql(), f"se as (select t.scenario, y::double as x, coalesce(sum(n), 0)::double as y from (select scenario, y from sc, range({YEARS[0]}, {YEARS[1] + 1}) q(y)) t left join den on den.scenario = t.scenario and den.year = t.y group by t.scenario, t.y)", _sens("se", "scenario"), select="select scenario, round(slope, 6) as slope, round(intercept, 6) as intercept from ts"),
         "circular_surrogates": Q.query(*hot, SIDES, sur, select="select draw::int as draw, cluster, year, n from st"),
-        "surrogate_summary": Q.query(*hot, SIDES, sur, signal, sync, "ob as (select cluster, count(*)::double as observed from sy group by 1), dw as (select draw, cluster, sum(n)::double as value from st group by 1, 2)", select="select cluster, max(observed) as observed, round(avg(value), 8) as surrogate_mean, round(quantile_cont(value, 0.95), 8) as surrogate_p95, round(quantile_cont(value, 0.99), 8) as surrogate_p99, round((count(*) filter (where value >= observed) + 1)::double / (count(*) + 1), 8) as empirical_p from dw join ob using (cluster) group by cluster"),
+        "surrogate_summary": Q.query(*hot, SIDES, sur, signal, sync, "ob as (select cluster, count(*)::double as observed from sy group by 1)", f"gr as (select cluster, d as draw from (select distinct cluster from sd) cross join range(0, {DRAWS}) t(d))", "vs as (select draw, cluster, sum(n)::double as value from st group by 1, 2)", "dw as (select gr.draw, gr.cluster, coalesce(vs.value, 0) as value, coalesce(ob.observed, 0) as observed from gr left join vs on vs.draw = gr.draw and vs.cluster = gr.cluster left join ob on ob.cluster = gr.cluster)", select="select cluster, max(observed) as observed, round(avg(value), 8) as surrogate_mean, round(quantile_cont(value, 0.95), 8) as surrogate_p95, round(quantile_cont(value, 0.99), 8) as surrogate_p99, round((count(*) filter (where value >= observed) + 1)::double / (count(*) + 1), 8) as empirical_p from dw group by cluster"),
         "composite_anomaly": Q.query(em, co, select="select label, n, i, round(v, 6) as v from co"),
         "bandpass_dft": Q.query(em, co, band(4, 8, "b"), select="select label, i, round(wave, 6) as wave from b"),
         "bandpass_fft": Q.query(em, co, band(4, 8, "b"), select="select label, i, round(wave, 6) as wave from b"),
         "lag_correlation": Q.query(em, halves, lag, select="select label, shift, round(corr, 8) as corr from lg"),
         "lag_correlation_drift": Q.query(em, halves, lag, select="select label, best_shift, round(-best_shift / 6.0, 8) as drift from (select label, arg_max(shift, corr) as best_shift from lg group by 1)"),
         "wave_diagnostics": Q.query(em, co, band(3, 8, "b3"), band(4, 8, "b4"), diagnostics, select="select label, band, round(wa, 6) as wave_a, round(wb, 6) as wave_b, round(abs(wa - wb), 6) as abs_delta, sign(wa) = sign(wb) and wa <> 0 as same_sign, case when abs(wa - wb) < 45 then 'coherent-like' else 'dipole-like' end as class from dg"),
-        "nearest_days": "with o as (select o_orderdate::date as date, max(o_totalprice) as z from orders group by 1), h as (select * from o where dayofyear(date) % 5 = 0), d as (select date from o where dayofyear(date) % 40 = 1) select strftime(date, '%Y-%m-%d') as day, (select z from h where year(h.date) = year(d.date) order by abs(h.date - (d.date - 3)), h.date limit 1) as z from d",
+        "nearest_days": "with o as (select o_orderdate::date as date, max(o_totalprice) as z from orders group by 1), p as (select d.date, h.z, row_number() over (partition by d.date order by abs(h.date - (d.date - 3)), h.date) as place from o d join o h on year(h.date) = year(d.date)) select strftime(date, '%Y-%m-%d') as day, z from p where place = 1",
         "footprint_sizes": Q.query(SIDES, "fp as (select cluster, side as footprint, node from sd union all select distinct cluster, 'bundle_union', node from sd)", select="select cluster, footprint, count(*) as node_count, count(*) as side_sum from fp group by 1, 2"),
         "exposure_person_nights": Q.query(*hot, Q.NODES, SIDES, signal, sync, cells, select="select cluster, footprint, round(population, 4) as population, coalesce(n, 0) as event_nights, round(population * coalesce(n, 0), 2) as person_nights from po left join (select cluster, count(*) as n from sy group by 1) using (cluster)"),
         "annual_person_nights": Q.query(*hot, Q.NODES, SIDES, signal, sync, cells, select="select cluster, year(day)::int as year, count(*) as event_nights, round(max(population) * count(*), 2) as person_nights from sy join po using (cluster) where footprint = 'bundle_union' group by 1, 2"),
