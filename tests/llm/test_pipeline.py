@@ -87,3 +87,38 @@ def test_run_gives_the_last_stage(spark, stages):
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     a = corpus_pipeline.run(spark, PATH).select(*columns)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, stages["packing"].select(*columns).collect()))
+
+
+@pytest.fixture
+def awkward(spark, docs):
+    """Nulls in every column, repeated rows, one id with two texts, a very long text, and names that stages use themselves."""
+    from pyspark.sql import functions as F
+
+    shared = "a shared line that many of the documents hold, word for word"
+    found = [(i, f"{shared}\nown words {i} {i * i} " + f"w{i} " * 30, "s%d" % (i % 3)) for i in range(12)]
+    found += [(None, None, None), (50, None, "s0"), (51, "", None), (None, "no id here at all", "s1"), (3, "another text of three", "s2"), (60, "long " * 100_000, "s1"), found[4], found[4]]
+    frame = docs(found).withColumn("lang", F.when(F.col("doc_id") != 5, F.col("lang")))
+    for name in ("size", "target", "version", "fp", "component_id", "tox_score", "h1", "pos", "grp", "_mx_runs", "_ld_gone", "_sh_id", "blob"):
+        frame = frame.withColumn(name, F.lit("clash"))
+    return frame
+
+
+@pytest.mark.parametrize("number", range(len(corpus_pipeline.STAGES)))
+def test_stages_take_awkward_rows_and_empty_tables(spark, awkward, tmp_path, number):
+    spark.read.parquet(f"{PATH}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    name, stage = corpus_pipeline.STAGES[number]
+    if name == "toxicity":  # its score replaces a column of that name
+        awkward = awkward.drop("tox_score")
+    got = rows(stage(spark, awkward, str(tmp_path)))
+    assert stage(spark, awkward.limit(0), str(tmp_path)).count() == 0
+    before, ids = rows(awkward), Counter(r["doc_id"] for r in got)
+    if name in ("toxicity", "line_dedup"):
+        assert ids == Counter(r["doc_id"] for r in before)
+    if name == "near_dedup":
+        assert ids[3] == 2 and ids[4] == 1 and ids[60] == 1 and ids[50] + ids[51] == 1
+    if name == "mixing":
+        assert {r["doc_id"] for r in got} <= {r["doc_id"] for r in before if r["text"]}
+    if name == "packing":
+        assert sum(r["length"] for r in got) == sum(len(packing.encode(r["text"] or "")) + 1 for r in before)
+    else:
+        assert all(set(r) == set(awkward.columns) and r["_mx_runs"] == "clash" for r in got)
