@@ -1,8 +1,8 @@
 """Event coincidence between pairs of nodes: overlap, directional counts within ±K days, Poisson screens and FDR.
 
-Two physical forms give the same counts. The relational one joins node-days on the day and suits up to some hundred
-nodes. The blocked one packs each node's days into bit rows, deals pairs of node blocks to tasks and counts them by
-matrix products; its shuffle grows with blocks times node-days, not with pairs times days.
+Two physical forms give the same counts. The blocked one, which scoring uses, packs each node's days into bit rows, deals
+pairs of node blocks to tasks and counts them by matrix products; its shuffle grows with blocks times node-days, not with
+pairs times days. The relational one joins node-days on the day; it suits up to some hundred nodes.
 """
 
 from __future__ import annotations
@@ -112,7 +112,7 @@ def scored(counts: DataFrame, config: PairConfig) -> DataFrame:
     return lam.withColumn("p", S.poisson_upper_tail(F.col("obs"), F.col("lam")))
 
 
-def pair_scores(events: DataFrame, config: PairConfig = PairConfig(), cold: DataFrame | None = None, blocked: bool = False) -> DataFrame:
+def pair_scores(events: DataFrame, config: PairConfig = PairConfig(), cold: DataFrame | None = None, blocked: bool = True) -> DataFrame:
     """All tested pairs with counts, lam and p: of one event table (a < b), or hot nodes against cold ones (a hot, b cold)."""
     keep = lambda e: activity(e).join(valid_nodes(e, config.min_events).select("node"), "node", "left_semi")
     act, other = keep(events), None if cold is None else keep(cold)

@@ -72,19 +72,33 @@ def sweep(a: list[tuple], b: list[tuple], k_days: int) -> tuple[set[int], set[in
     return la, lb
 
 
-def locked_by_sweep(runs: DataFrame, pairs: DataFrame, k_days: int, cold: DataFrame | None = None) -> DataFrame:
-    """(run_uid) of runs that the sweep locks, pair by pair. A task holds the runs of one pair of nodes."""
+def locked_by_sweep(runs: DataFrame, pairs: DataFrame, k_days: int, cold: DataFrame | None = None, block: int = 64) -> DataFrame:
+    """(run_uid) of runs that the sweep locks, pair by pair.
+
+    Pairs are dealt out by the blocks of their two nodes, so a run is copied to the linked blocks of its block, not to
+    each of its node's links. A task holds the runs of two blocks of nodes and at most block² pairs.
+    """
     one_sided = cold is not None
 
-    def one(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        la, lb = sweep(*([(u, s, e) for u, s, e in f.sort_values(["s", "uid"])[["uid", "s", "e"]].itertuples(index=False)] for f in (left, right)), k_days)
-        return pd.DataFrame({"run_uid": np.array(sorted(la if one_sided else la | lb), "int64")})
+    def one(key, sides: pd.DataFrame, linked: pd.DataFrame) -> pd.DataFrame:
+        of = {at: list(zip(f["uid"].tolist(), f["s"].tolist(), f["e"].tolist())) for at, f in sides.sort_values(["s", "uid"]).groupby(["side", "node"], sort=False)}
+        locked: set[int] = set()
+        for a, b in zip(linked["a"].tolist(), linked["b"].tolist()):
+            la, lb = sweep(of.get((0, a), []), of.get((1, b), []), k_days)
+            locked |= la if one_sided else la | lb
+        return pd.DataFrame({"run_uid": np.array(sorted(locked), "int64")})
 
+    place = lambda c: F.floor(F.col(c) / block).cast("bigint")
     day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
-    rows = lambda r, node: r.select(F.col("node").alias(node), F.col("run_uid").alias("uid"), day("start").alias("s"), day("end").alias("e"))
-    left = rows(runs, "a").join(pairs, "a")
-    right = rows(runs if cold is None else cold, "b").join(pairs.select(F.col("a").alias("a"), F.col("b").alias("b")), "b")
-    return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(one, "run_uid long").distinct()
+    dealt = pairs.select("a", "b", place("a").alias("ba"), place("b").alias("bb"))
+    met = dealt.select("ba", "bb").distinct()
+
+    def rows(r: DataFrame, side: int, at: str) -> DataFrame:
+        own = r.select(F.lit(side).alias("side"), "node", F.col("run_uid").alias("uid"), day("start").alias("s"), day("end").alias("e"), place("node").alias(at))
+        return own.join(met, at).select(F.col("ba").alias("ka"), F.col("bb").alias("kb"), "side", "node", "uid", "s", "e")
+
+    sides = rows(runs, 0, "ba").unionByName(rows(runs if cold is None else cold, 1, "bb"))
+    return sides.groupBy("ka", "kb").cogroup(dealt.groupBy("ba", "bb")).applyInPandas(one, "run_uid long").distinct()
 
 
 def mark_locked(runs: DataFrame, pairs: DataFrame, config: RunConfig = RunConfig(), cold: DataFrame | None = None) -> DataFrame:

@@ -132,6 +132,9 @@ def stratified_summary(deltas: DataFrame, n_boot: int, seed: int, least: int = 3
 
 
 def sample_rows(df: DataFrame, n: int, seed: int, *keys: str, where: Column | None = None) -> DataFrame:
-    """n seeded rows without replacement, or all if there are fewer; the same rows on any partitioning."""
+    """n seeded rows without replacement, or all if there are fewer; the same rows on any partitioning.
+
+    They are the n smallest MD5 sums of seed and keys, joined by colons, so other engines can draw the same rows.
+    """
     chosen = df if where is None else df.where(where)
-    return chosen.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+    return chosen.orderBy(F.md5(F.concat_ws(":", F.lit(seed), *[F.col(k).cast("string") for k in keys])), *keys).limit(n)

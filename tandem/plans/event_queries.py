@@ -12,6 +12,7 @@ from ..functions import scalars as S
 from ..operators import events as E
 from ..sources.tables import BASELINE, node_days, nodes, table
 from . import sql as Q
+from .kept import kept
 
 HOT = EventConfig(baseline=BASELINE)
 COLD = EventConfig.cold(baseline=BASELINE)
@@ -22,16 +23,16 @@ TAU = 0.95
 
 def days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The node-day series, kept once computed: thresholds, flags and seasons all start from it."""
-    return node_days(spark, sf_dir).persist()
+    return kept(spark, sf_dir, "days", node_days(spark, sf_dir))
 
 
 def hot_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hot event table. It is what most queries start from, so it is kept once it has been computed."""
-    return E.event_days(days(spark, sf_dir), HOT).persist()
+    return kept(spark, sf_dir, "hot", E.event_days(days(spark, sf_dir), HOT))
 
 
 def cold_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.event_days(days(spark, sf_dir), COLD).persist()
+    return kept(spark, sf_dir, "cold", E.event_days(days(spark, sf_dir), COLD))
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:

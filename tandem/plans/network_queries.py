@@ -6,6 +6,7 @@ from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..config import BundleConfig, PairConfig, RunConfig
 from ..functions import scalars as S
@@ -15,14 +16,18 @@ from ..operators import coincidence as C
 from ..operators import runs as R
 from ..operators import sensitivity as V
 from ..operators import stats as T
-from ..sources.tables import nodes
+from ..sources.tables import node_lat, node_lon, nodes
 from . import sql as Q
 from .event_queries import cold_days, hot_days
+from .kept import kept
 
 #: The series are independent, so a screen at the usual level would be empty.
 PAIRS = PairConfig(alpha=0.95)
 ALPHAS = [0.8, 0.9, 0.95]
-FDR_Q = 2.0
+#: The screens of the false-discovery rate take the usual levels, on the related series of kin_days.
+KIN_PAIRS = PairConfig(alpha=0.05)
+FDR_Q = 0.05
+KIN = 5
 THRESHOLD = 0.1
 
 
@@ -74,11 +79,11 @@ def pair_scores_dipole(spark, sf_dir):
 
 def coherent(spark, sf_dir) -> DataFrame:
     """The edge table, kept like the event tables: screens and bundles read it several times."""
-    return C.edges(C.pair_scores(hot_days(spark, sf_dir), PAIRS, blocked=True), nodes(spark, sf_dir), PAIRS).persist()
+    return kept(spark, sf_dir, "coherent", C.edges(C.pair_scores(hot_days(spark, sf_dir), PAIRS), nodes(spark, sf_dir), PAIRS))
 
 
 def dipole(spark, sf_dir) -> DataFrame:
-    return C.edges(C.pair_scores(hot_days(spark, sf_dir), PAIRS, cold_days(spark, sf_dir), blocked=True), nodes(spark, sf_dir), PAIRS).persist()
+    return kept(spark, sf_dir, "dipole", C.edges(C.pair_scores(hot_days(spark, sf_dir), PAIRS, cold_days(spark, sf_dir)), nodes(spark, sf_dir), PAIRS))
 
 
 def _edge_rows(e: DataFrame) -> DataFrame:
@@ -93,9 +98,31 @@ def dipole_edges(spark, sf_dir):
     return _edge_rows(dipole(spark, sf_dir))
 
 
+def kin_days(spark, sf_dir) -> DataFrame:
+    """hot_days as node-days of 5 nodes for each one: its own series, and four (ids + 100, … + 400) that share 2/24 to 8/24 of its event days.
+
+    The test tables' nations are independent; these relations give the false-discovery screens something to keep.
+    """
+    j = F.col("j")
+    shared = (F.col("doy") * 11 + F.col("node") * 17 + F.col("year") * 5 + j * 3) % 24 < j * 2
+    each = hot_days(spark, sf_dir).select("node", "day", "doy", "year", "evt_run", F.explode(F.sequence(F.lit(0), F.lit(KIN - 1))).alias("j"))
+    return each.select((F.col("node") + 100 * j).alias("node"), "day", ((F.col("evt_run") == 1) & ((j == 0) | shared)).cast("int").alias("evt_run"))
+
+
+def kin_edges(spark, sf_dir) -> DataFrame:
+    """Screened pairs of kin_days. p is rounded far below any level, so that the last bits of a sum can't move a rank."""
+    scores = C.pair_scores(kin_days(spark, sf_dir), KIN_PAIRS).withColumn("p", F.round("p", 10))
+    node = F.col("node") + 100 * F.col("j")
+    each = nodes(spark, sf_dir).select("node", F.explode(F.sequence(F.lit(0), F.lit(KIN - 1))).alias("j"))
+    return kept(spark, sf_dir, "kin", C.edges(scores, each.select(node.alias("node"), node_lon(node).alias("lon"), node_lat(node).alias("lat")), KIN_PAIRS))
+
+
+def _kin_tests(spark, sf_dir) -> DataFrame:
+    return C.test_count(C.valid_nodes(kin_days(spark, sf_dir), KIN_PAIRS.min_events))
+
+
 def _fdr(spark, sf_dir, mode):
-    hot = C.valid_nodes(hot_days(spark, sf_dir), PAIRS.min_events)
-    got = C.fdr_screen(coherent(spark, sf_dir), C.test_count(hot), FDR_Q, mode)
+    got = C.fdr_screen(kin_edges(spark, sf_dir), _kin_tests(spark, sf_dir), FDR_Q, mode)
     return got.select("a", "b", "rank", F.round("line", 8).alias("line"), F.round("cutoff", 8).alias("cutoff"), "keep")
 
 
@@ -108,17 +135,28 @@ def fdr_step_up(spark, sf_dir):
 
 
 def fdr_summary(spark, sf_dir):
-    m = C.test_count(C.valid_nodes(hot_days(spark, sf_dir), PAIRS.min_events))
-    got = C.fdr_summary(C.fdr_screen(coherent(spark, sf_dir), m, FDR_Q), m, FDR_Q, 8000.0)
+    m = _kin_tests(spark, sf_dir)
+    got = C.fdr_summary(C.fdr_screen(kin_edges(spark, sf_dir), m, FDR_Q), m, FDR_Q, 8000.0)
     return got.withColumn("cutoff", F.round("cutoff", 8))
 
 
+def fdr_modes(spark, sf_dir):
+    """Both modes on p values that cross the line many times, one for each pair of nations, so that they keep different sets."""
+    n = nodes(spark, sf_dir).select("node")
+    pairs = n.select(F.col("node").alias("a")).join(F.broadcast(n.select(F.col("node").alias("b"))), F.col("a") < F.col("b"))  # 25 nations
+    u = ((F.col("a") * 37 + F.col("b") * 101) % 997) / 997
+    waves = pairs.withColumn("p", F.round(0.05 * u * (0.95 + 0.3 * F.sin(40 * u)), 10))
+    m = waves.agg(F.count(F.lit(1)).alias("m"))
+    each = [C.fdr_screen(waves, m, FDR_Q, mode).withColumn("mode", F.lit(mode)) for mode in ("count", "step_up")]
+    return each[0].unionByName(each[1]).select("mode", "a", "b", "rank", F.round("line", 8).alias("line"), F.round("cutoff", 8).alias("cutoff"), "keep")
+
+
 def edge_summary(spark, sf_dir):
     return C.edge_summary(coherent(spark, sf_dir), 8000.0)
 
 
 def alpha_sweep(spark, sf_dir):
-    return C.alpha_sweep(C.pair_scores(hot_days(spark, sf_dir), PAIRS, blocked=True), nodes(spark, sf_dir), ALPHAS, 8000.0)
+    return C.alpha_sweep(C.pair_scores(hot_days(spark, sf_dir), PAIRS), nodes(spark, sf_dir), ALPHAS, 8000.0)
 
 
 SETTINGS = [(3, 0.95), (1, 0.95), (3, 0.9)]
@@ -129,7 +167,7 @@ def setting_sweep(spark, sf_dir):
     hot = hot_days(spark, sf_dir)
     out = None
     for k in sorted({k for k, _ in SETTINGS}):
-        scores = C.pair_scores(hot, PairConfig(k_days=k), blocked=True).withColumn("alpha", F.explode(F.array(*[F.lit(a) for kk, a in SETTINGS if kk == k])))
+        scores = C.pair_scores(hot, PairConfig(k_days=k)).withColumn("alpha", F.explode(F.array(*[F.lit(a) for kk, a in SETTINGS if kk == k])))
         far = C.with_distance(scores.where("p < alpha"), nodes(spark, sf_dir)).withColumn("k_days", F.lit(k))
         out = far if out is None else out.unionByName(far)
     label = F.when((F.col("k_days") == 3) & (F.col("alpha") == 0.95), "Primary").when(F.col("k_days") != 3, F.concat(F.lit("K="), F.col("k_days"))).otherwise(F.concat(F.lit("p<"), F.col("alpha").cast("string")))
@@ -197,6 +235,42 @@ def paired_tests(spark, sf_dir):
     return both.select("n_pairs", "mean_delta", "median_delta", F.round("z", 8).alias("z"), F.round("p_greater", 8).alias("p_greater"), F.round("p_two_sided", 8).alias("p_two_sided"))
 
 
+def stratified_tests(spark, sf_dir):
+    """The stratified summary without its bootstrap: the tests of each duration bin with enough pairs."""
+    d = matched_deltas(spark, sf_dir).withColumn("delta", F.round("delta", 0))
+    base = d.groupBy("dur_bin").agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg("delta"), 6).alias("mean_delta"), F.median("delta").alias("median_delta"))
+    test = T.wilcoxon(d, ("dur_bin",)).select("dur_bin", F.round("z", 8).alias("z"), F.round("p_greater", 8).alias("p_greater"))
+    return base.where("n_pairs >= 5").join(test, "dur_bin", "left")
+
+
+def layer_totals(spark, sf_dir):
+    """Synchronised days summed over the bundles of a layer: a row a year, with the layer's total and mean a year."""
+    yearly = dates(spark, sf_dir).groupBy(F.year("day").alias("year"), "cluster").agg(F.count(F.lit(1)).alias("n")).groupBy("year").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("bundles"))
+    total = yearly.agg(F.sum("n").alias("total"), F.round(F.avg("n"), 6).alias("mean_annual"))
+    return yearly.crossJoin(F.broadcast(total))  # one row
+
+
+def first_events(spark, sf_dir):
+    """Each node's first event day and what it measured: the first row of a group, without sorting it."""
+    hot = hot_days(spark, sf_dir).where("evt_run = 1")
+    got = hot.groupBy("node").agg(F.min_by(F.struct("day", F.col("value").alias("v")), "day").alias("r"))
+    return got.select("node", S.day_text(F.col("r.day")).alias("day"), F.col("r.v").alias("value"))
+
+
+def longest_edges(spark, sf_dir):
+    """The first three edges of each node by falling distance, then p and the other node."""
+    order = Window.partitionBy("a").orderBy(F.desc(F.round("dist_km", 5)), F.round("p", 8), "b")
+    return _edge_rows(coherent(spark, sf_dir).withColumn("_k", F.row_number().over(order)).where("_k <= 3")).select("a", "b", "dist_km", "p")
+
+
+def cluster_groups(spark, sf_dir):
+    """k-means on edges whose ends are moved apart by group, so that the best clustering is known: a row for each group."""
+    off = (F.col("a") % 3) * 1000
+    apart = coherent(spark, sf_dir).select("a", "b", *[(F.col(c) + off).alias(c) for c in B.ENDPOINTS])
+    found = B.cluster_edges(apart, 3)
+    return found.groupBy("cluster").agg(F.count(F.lit(1)).alias("edges"), F.min("a").alias("first_a"), F.count_distinct("a").alias("nodes"), F.round(F.avg("lon1"), 6).alias("lon1"), F.round(F.avg("lat2"), 6).alias("lat2")).drop("cluster")
+
+
 def paired_summary(spark, sf_dir):
     return T.paired_summary(matched_deltas(spark, sf_dir), 800, 101)
 
@@ -244,7 +318,7 @@ def cluster_bundles(spark, sf_dir):
 
 
 def geodesic_edges(spark, sf_dir):
-    e = C.with_distance(C.pair_scores(hot_days(spark, sf_dir), PAIRS, blocked=True), nodes(spark, sf_dir), lambda *c: geodesic_km(*c))
+    e = C.with_distance(C.pair_scores(hot_days(spark, sf_dir), PAIRS), nodes(spark, sf_dir), lambda *c: geodesic_km(*c))
     return e.select("a", "b", F.round("dist_km", 3).alias("geodesic_km"))
 
 
@@ -262,6 +336,11 @@ def oracles() -> dict[str, str]:
     dip = (Q.NODES, *both, cross, scored, Q.edges("sc", "e", 0.95))
     score_columns = "select a, b, n_eff, n_a, n_b, obs, round(lam, 8) as lam, round(p, 8) as p from sc"
     edge_columns = "select a, b, lon1, lat1, lon2, lat2, round(dist_km, 5) as dist_km, n_eff, obs, round(p, 8) as p from e"
+    kin = (
+        *hot[:2], f"kn as (select node + 100 * j as node, day, (evt_run = 1 and (j = 0 or (doy * 11 + node * 17 + year * 5 + j * 3) % 24 < j * 2))::int as evt_run from ev, range(0, {KIN}) t(j))",
+        f"nodes as (select node, {Q.LON} as lon, {Q.LAT} as lat from (select n_nationkey::bigint + 100 * j as node from nation, range(0, {KIN}) t(j)))",
+        Q.valid("kn", "ok", 5), Q.active("kn", "ok", "act"), same, Q.scores("cc", "sk", 3, 200), "sc as (select * replace (round(p, 10) as p) from sk)", Q.edges("sc", "e", 0.05),
+    )
     summary = "count(*) as n_edges, count(*) filter (where dist_km > 8000) as n_long, round(100 * avg((dist_km > 8000)::int::double), 6) as percent_long, round(median(dist_km), 6) as median_km"
     ranked = f"rk as (select *, row_number() over (order by p, a, b) as rank, (select count(*) * (count(*) - 1) / 2 from ok) as m from e), ln as (select *, rank * {FDR_Q} / m as line, p <= rank * {FDR_Q} / m as below from rk)"
     fdr = "select a, b, rank, round(line, 8) as line, round(cutoff, 8) as cutoff, coalesce(p <= cutoff, false) as keep from (select *, max(case when rank <= n_keep then p end) over () as cutoff from (select *, {} as n_keep from ln))"
@@ -289,11 +368,23 @@ def oracles() -> dict[str, str]:
         "pair_scores_dipole": Q.query(*both, cross, scored, select=score_columns),
         "coherent_edges": Q.query(*coh, select=edge_columns),
         "dipole_edges": Q.query(*dip, select=edge_columns),
-        "fdr_screen": Q.query(*coh, ranked, select=fdr.format("count(*) filter (where below) over ()")),
-        "fdr_step_up": Q.query(*coh, ranked, select=fdr.format("coalesce(max(case when below then rank end) over (), 0)")),
-        "fdr_summary": Q.query(*coh, ranked, f"fk as ({fdr.format('count(*) filter (where below) over ()').replace('select a, b, rank, round(line, 8) as line, round(cutoff, 8) as cutoff,', 'select dist_km, below, m, cutoff,')})", select=f"select count(*) as candidates, (select (count(*) * (count(*) - 1)) // 2 from ok)::bigint as tests, {FDR_Q}::double as q, count(*) filter (where below) as retained, round(max(cutoff), 8) as cutoff, count(*) filter (where keep and dist_km > 8000) as retained_long, round(100 * avg((dist_km > 8000)::int::double) filter (where keep), 6) as percent_long, round(median(dist_km) filter (where keep), 6) as median_km from fk"),
+        "fdr_screen": Q.query(*kin, ranked, select=fdr.format("count(*) filter (where below) over ()")),
+        "fdr_step_up": Q.query(*kin, ranked, select=fdr.format("coalesce(max(case when below then rank end) over (), 0)")),
+        "fdr_summary": Q.query(*kin, ranked, f"fk as ({fdr.format('count(*) filter (where below) over ()').replace('select a, b, rank, round(line, 8) as line, round(cutoff, 8) as cutoff,', 'select dist_km, below, m, cutoff,')})", select=f"select count(*) as candidates, (select (count(*) * (count(*) - 1)) // 2 from ok)::bigint as tests, {FDR_Q}::double as q, count(*) filter (where below) as retained, round(max(cutoff), 8) as cutoff, count(*) filter (where keep and dist_km > 8000) as retained_long, round(100 * avg((dist_km > 8000)::int::double) filter (where keep), 6) as percent_long, round(median(dist_km) filter (where keep), 6) as median_km from fk"),
+        "fdr_modes": Q.query(
+            "u as (select x.n_nationkey::bigint as a, y.n_nationkey::bigint as b, ((x.n_nationkey * 37 + y.n_nationkey * 101) % 997) / 997.0::double as u from nation x join nation y on x.n_nationkey < y.n_nationkey)",
+            "rk as (select a, b, p, row_number() over (order by p, a, b) as rank, (select count(*) from u) as m from (select a, b, round(0.05 * u * (0.95 + 0.3 * sin(40 * u)), 10) as p from u))",
+            f"ln as (select *, rank * {FDR_Q} / m as line, p <= rank * {FDR_Q} / m as below from rk)",
+            select=" union all ".join(fdr.format(n).replace("select a, b", f"select '{mode}' as mode, a, b", 1) for mode, n in (("count", "count(*) filter (where below) over ()"), ("step_up", "coalesce(max(case when below then rank end) over (), 0)"))),
+        ),
+        "stratified_tests": Q.query(*coh, run1, pairs, Q.sweep("r", "r", "lk", 1, True), Q.MATCHED, "dr as (select dur_bin, round(delta, 0) as delta from dl)", "wk as (select dur_bin, abs(delta) as a, count(*) as t, count(*) filter (where delta > 0) as plus from dr where delta <> 0 group by 1, 2)", "wr as (select *, coalesce(sum(t) over (partition by dur_bin order by a rows between unbounded preceding and 1 preceding), 0) + (t + 1) / 2.0 as rank from wk)", "ww as (select dur_bin, sum(t)::bigint as n, sum(plus * rank)::double as w, sum(t * t * t - t)::double as ties from wr group by 1)", "wz as (select dur_bin, (w - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48) as z from ww)", select=f"select dur_bin, n_pairs, mean_delta, median_delta, round(z, 8) as z, round({Q.upper_tail('z')}, 8) as p_greater from (select dur_bin, count(*) as n_pairs, round(avg(delta), 6) as mean_delta, median(delta) as median_delta from dr group by 1) left join wz using (dur_bin) where n_pairs >= 5"),
+        "layer_totals": Q.query(*coh, side, signal, sync, "yr as (select year(day)::int as year, count(*) as n, count(distinct cluster) as bundles from sy group by 1)", select="select year, n, bundles, (select sum(n)::bigint from yr) as total, (select round(avg(n), 6) from yr) as mean_annual from yr"),
+        "first_events": Q.query(*hot[:2], select="select node, strftime(min(day), '%Y-%m-%d') as day, arg_min(value, day) as value from ev where evt_run = 1 group by node"),
+        "longest_edges": Q.query(*coh, f"er as ({edge_columns})", select="select a, b, dist_km, p from (select *, row_number() over (partition by a order by dist_km desc, p, b) as k from er) where k <= 3"),
+        "cluster_groups": Q.query(*coh, select="select count(*) as edges, min(a) as first_a, count(distinct a) as nodes, round(avg(lon1 + (a % 3) * 1000), 6) as lon1, round(avg(lat2 + (a % 3) * 1000), 6) as lat2 from e group by a % 3"),
         "bundle_reconstruction": Q.query(*coh, select="select c::int as cluster_id, k as \"check\", true as ok, 0::bigint as failures from (select distinct a % 3 as c from e), (select unnest(['edge_count', 'node_count_a', 'node_count_b']) as k)"),
         "geodesic_edges": Q.query(*coh, "pq as (select a, b, x.lon as lon1, x.lat as lat1, y.lon as lon2, y.lat as lat2 from sc join nodes x on x.node = a join nodes y on y.node = b)", Q.geodesic("pq", "gd"), select="select a, b, round(km, 3) as geodesic_km from gd"),
+        "edge_sample": Q.query(*coh, select=f"{edge_columns} order by md5('20240527:' || a || ':' || b), a, b limit 10"),
         "edge_summary": Q.query(*coh, select=f"select {summary} from e"),
         "alpha_sweep": Q.query(*coh, select=f"select alpha::double as alpha, {summary} from e join (select unnest([0.8, 0.9, 0.95]::double[]) as alpha) on p < alpha group by alpha"),
         "setting_sweep": Q.query(Q.NODES, *hot, *sweep, f"al as ({all_settings})", select="select *, round(n_edges::double / (select n_edges from al where setting = 'Primary'), 6) as ratio_to_primary from al"),
@@ -314,7 +405,8 @@ def oracles() -> dict[str, str]:
 
 QUERIES = {f.__name__: f for f in (
     valid_nodes, test_counts, pair_overlap, pair_observed, pair_observed_dipole, pair_counts_blocked, pair_counts_blocked_dipole, pair_scores,
-    pair_scores_dipole, coherent_edges, dipole_edges, fdr_screen, fdr_step_up, fdr_summary, edge_summary, alpha_sweep, setting_sweep, event_runs, locked_runs_join,
+    pair_scores_dipole, coherent_edges, dipole_edges, fdr_screen, fdr_step_up, fdr_summary, fdr_modes, edge_summary, alpha_sweep, setting_sweep, event_runs, locked_runs_join,
     locked_runs_join_dipole, locked_runs_sweep, locked_runs_sweep_dipole, raw_lock_summary, matched_controls, matched_deltas_rounded, paired_tests, paired_summary,
     stratified_summary, daily_signal, synchronized_dates, bundle_summary, bundle_reconstruction, cluster_bundles, geodesic_edges, edge_sample,
+    stratified_tests, layer_totals, first_events, longest_edges, cluster_groups,
 )}

@@ -252,3 +252,64 @@ def test_layer_slopes_against_a_plain_version(spark):
             o, v = f(seen[k]), np.array([f(y) for y in counts[:, k]])
             want = (o, v.mean(), *np.percentile(v, [95, 99]), ((v >= o).sum() + 1) / 13)
             assert tuple(rows[layer][f"{name}_{c}"] for c in ("observed", "surrogate_mean", "surrogate_p95", "surrogate_p99", "empirical_p")) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("block", [1, 3, 64])
+def test_the_sweep_by_blocks_is_the_sweep_pair_by_pair(spark, block):
+    rng = random.Random(4)
+    runs, uid = [], 0
+    for n in range(8):
+        at = 0
+        for _ in range(12):
+            at += rng.randrange(3, 15)
+            runs.append((n, uid, at, at + rng.randrange(3)))
+            uid += 1
+    pairs = [(a, b) for a in range(8) for b in range(a + 1, 8) if rng.random() < 0.4]
+    want, cold = set(), set()
+    for a, b in pairs:
+        of = [[(u, s, e) for n, u, s, e in runs if n == x] for x in (a, b)]
+        la, lb = R.sweep(*of, 2)
+        want |= la | lb
+        cold |= la
+    table_ = runs_table(spark, runs)
+    linked = spark.createDataFrame(pairs, "a bigint, b bigint")
+    uids = lambda df: {r["run_uid"] for r in df.collect()}
+    assert uids(R.locked_by_sweep(table_, linked, 2, block=block)) == want
+    assert uids(R.locked_by_sweep(table_, linked, 2, table_, block=block)) == cold
+
+
+def test_both_scoring_forms_agree(spark):
+    events = table(spark, random_series(6)).withColumnRenamed("evt", "evt_run")
+    config = PairConfig(min_events=1, min_overlap=5)
+    rows = lambda blocked: sorted(map(tuple, C.pair_scores(events, config, blocked=blocked).select("a", "b", "n_eff", "n_a", "n_b", "obs").collect()))
+    assert rows(True) == rows(False) != []
+
+
+def test_samples_are_the_smallest_sums(spark):
+    import hashlib
+
+    df = spark.createDataFrame([(a, b) for a in range(9) for b in range(9)], "a bigint, b bigint").repartition(3)
+    got = sorted(map(tuple, T.sample_rows(df, 7, 5, "a", "b").collect()))
+    every = sorted(((a, b) for a in range(9) for b in range(9)), key=lambda r: hashlib.md5(f"5:{r[0]}:{r[1]}".encode()).hexdigest())
+    assert got == sorted(every[:7])
+
+
+def test_registered_modes_keep_different_sets(spark):
+    from tandem.plans import network_queries as N
+
+    got = N.fdr_modes(spark, "/root/testdata/sf0.001").groupBy("mode").agg(F.count_if("keep").alias("n")).collect()
+    kept = {r["mode"]: r["n"] for r in got}
+    assert 0 < kept["count"] < kept["step_up"] < 300
+
+
+def test_kept_tables_of_another_folder_are_released(spark):
+    from tandem.plans import kept as K
+
+    K.release()
+    one, two = spark.range(3).withColumn("x", F.lit(1)), spark.range(4).withColumn("x", F.lit(2))
+    K.kept(spark, "one", "t", one)
+    assert one.is_cached
+    K.kept(spark, "two", "t", two)
+    assert two.is_cached and not one.storageLevel.useMemory
+    K.release()
+    assert not two.storageLevel.useMemory

@@ -14,7 +14,7 @@ from tandem.sources.tables import node_days, table
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
 #: These run their model or stream while they build the result.
-EAGER = {"cluster_bundles", "streaming_daily_minima"}
+EAGER = {"cluster_bundles", "cluster_groups", "streaming_daily_minima"}
 
 
 def plan(df) -> str:
