@@ -386,18 +386,6 @@ def event_date_span(spark, sf_dir):
     return both.agg(S.day_text(F.min("lo")).alias("first_day"), S.day_text(F.max("hi")).alias("last_day"))
 
 
-def streaming_daily_minima(spark, sf_dir):
-    """The stream form over the event table's files, run once to the end of what is there."""
-    import uuid
-
-    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", True).parquet(sf_dir)
-    name = f"minima_{uuid.uuid4().hex}"
-    rows = streaming_minima(source.select("ts", F.col("user_id").alias("node"), "value"))
-    query = rows.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name).select("node", S.day_text(F.col("day")).alias("day"), "min_value", "n")
-
-
 def batch_daily_minima(spark, sf_dir):
     got = streaming_minima(table(spark, sf_dir, "events").select("ts", F.col("user_id").alias("node"), "value"))
     return got.select("node", S.day_text(F.col("day")).alias("day"), "min_value", "n")
@@ -548,7 +536,6 @@ po as (select cluster, footprint, coalesce(sum(population), 0) as population fro
         "full_index_add": "with o as (select o_orderstatus as s, year(o_orderdate) as y, count(*) as n from orders group by 1, 2) select t.y::int as year, coalesce(sum(n), 0)::double as n from range(1990, 2006) t(y) left join o on o.y = t.y and ((s = 'F' and o.y % 2 = 0) or (s = 'O' and o.y % 3 = 0)) group by t.y",
         "event_date_span": Q.query(*hot, cold, select="select strftime(min(day), '%Y-%m-%d') as first_day, strftime(max(day), '%Y-%m-%d') as last_day from (select day from ev where evt_run = 1 union all select day from cd where evt_run = 1)"),
         "batch_daily_minima": "select user_id as node, strftime(ts, '%Y-%m-%d') as day, min(value) as min_value, count(*) as n from events where hour(ts) between 0 and 6 group by 1, 2",
-        "streaming_daily_minima": "select user_id as node, strftime(ts, '%Y-%m-%d') as day, min(value) as min_value, count(*) as n from events where hour(ts) between 0 and 6 group by 1, 2",
     }
 
 
@@ -557,5 +544,5 @@ QUERIES = {f.__name__: f for f in (
     circular_surrogates, hashed_surrogates, surrogate_summary, surrogate_layers, composite_anomaly, bandpass_dft, bandpass_fft, lag_correlation, lag_correlation_drift,
     wave_diagnostics, nearest_days, footprint_sizes, exposure_person_nights, annual_person_nights, nearest_primary, geography_summary, humidity_wetbulb,
     region_case, bundle_labels, nearest_year, nearest_latitude, bundle_wave_diagnostics, cell_bounds, tag_names, node_distances, geodesic_distances, poisson_tail, set_ops_nodes, manifest_diff, set_equality, quality_checks,
-    reference_comparison, override_rows, full_index_add, event_date_span, streaming_daily_minima, batch_daily_minima,
+    reference_comparison, override_rows, full_index_add, event_date_span, batch_daily_minima,
 )}

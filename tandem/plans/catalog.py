@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import analysis_queries, event_queries, network_queries
+from . import analysis_queries, event_queries, network_queries, source_queries
 
-_PARTS = (event_queries, network_queries, analysis_queries)
+_PARTS = (event_queries, network_queries, analysis_queries, source_queries)
 
 
 def queries() -> dict[str, Callable]:

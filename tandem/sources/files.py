@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import time
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass, is_dataclass
 
@@ -66,6 +67,34 @@ def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) ->
     return path
 
 
+def write_single_file(df: DataFrame, path: str) -> str:
+    """df as one Parquet file at path, in place of what was there. One task writes it, so it is for summaries, not for data.
+
+    The file is written beside path and renamed when it is whole: a lost executor leaves the former file as it was.
+    """
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    beside = f"{path}.part-{uuid.uuid4().hex}"
+    at, folder = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(beside)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        df.coalesce(1).write.parquet(beside)
+        part = next(f.getPath() for f in store.listStatus(folder) if f.getPath().getName().endswith(".parquet"))
+        store.delete(at, True)
+        if not store.rename(part, at):
+            raise OSError(f"cannot move {part} to {path}")
+    finally:
+        store.delete(folder, True)
+    return path
+
+
+def count_files(spark: SparkSession, path: str) -> int:
+    """Data files at path or directly below it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    return sum(1 for f in found if f.isFile() and not f.getPath().getName().startswith(("_", ".")))
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
     """Comma-separated text with a header; types are inferred only if no schema is given."""
     reader = spark.read.option("header", True)
