@@ -40,19 +40,24 @@ def _joined(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
 def theil_sen(series: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """slope (median of pairwise slopes), intercept (median y less slope times median x) and Sen's 95 % interval.
 
-    series: by, x, y. The interval cuts the sorted slopes at ranks (k ± z·sd)/2, sd corrected for tied y.
+    series: by, x, y. The interval cuts the sorted slopes at ranks (k ± z·sd)/2, sd corrected for tied y. Slopes are ranked
+    by a sort that can spill, so a long series is never held in one row.
     """
     by = list(by)
-    slopes = _pairs(series, by).select(*by, ((F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1"))).alias("s"))
-    found = slopes.groupBy(*by).agg(F.median("s").alias("slope"), F.sort_array(F.collect_list("s")).alias("sorted"), F.count(F.lit(1)).alias("k"))
+    slopes = _pairs(series, by).select(*by, ((F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1"))).alias("s")).where("s is not null")
     middle = series.groupBy(*by).agg(F.median("x").alias("mx"), F.median("y").alias("my"), F.count(F.lit(1)).alias("n"))
-    all_ = _joined(_joined(found, middle, by), _ties(series, by, "y"), by)
+    sizes = _joined(_joined(slopes.groupBy(*by).agg(F.count(F.lit(1)).alias("k")), middle, by), _ties(series, by, "y"), by)
     n = F.col("n").cast("double")
     sd = F.sqrt((n * (n - 1) * (2 * n + 5) - F.col("y_b")) / 18)
-    upper = F.least(F.round((F.col("k") - (-Z95) * sd) / 2).cast("int"), (F.col("k") - 1).cast("int"))
-    lower = F.greatest(F.round((F.col("k") - Z95 * sd) / 2).cast("int") - 1, F.lit(0))
-    at = lambda i: F.element_at("sorted", i + 1)
-    return all_.select(*by, "slope", (F.col("my") - F.col("slope") * F.col("mx")).alias("intercept"), at(lower).alias("low95"), at(upper).alias("high95"))
+    upper = F.least(F.round((F.col("k") - (-Z95) * sd) / 2).cast("bigint"), F.col("k") - 1)
+    lower = F.greatest(F.round((F.col("k") - Z95 * sd) / 2).cast("bigint") - 1, F.lit(0))
+    cuts = sizes.select(*by, "k", "mx", "my", lower.alias("lower"), upper.alias("upper"))
+    ranked = slopes.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("s")))
+    at = lambda *ranks: F.avg(F.when(F.col("r").isin(*ranks), F.col("s")))
+    half = F.floor(F.col("k") / 2)
+    found = _joined(ranked, F.broadcast(cuts), by) if not by else ranked.join(cuts, by)
+    got = found.groupBy(*by, "mx", "my").agg(at(F.ceil(F.col("k") / 2), half + 1).alias("slope"), at(F.col("lower") + 1).alias("low95"), at(F.col("upper") + 1).alias("high95"))
+    return got.select(*by, "slope", (F.col("my") - F.col("slope") * F.col("mx")).alias("intercept"), "low95", "high95")
 
 
 def kendall_tau(series: DataFrame, by: tuple[str, ...] = (), p_value: bool = True) -> DataFrame:

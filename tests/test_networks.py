@@ -313,3 +313,21 @@ def test_kept_tables_of_another_folder_are_released(spark):
     assert two.is_cached and not one.storageLevel.useMemory
     K.release()
     assert not two.storageLevel.useMemory
+
+
+@pytest.mark.parametrize("n", [2, 3, 6, 9])
+def test_slopes_by_rank_against_a_plain_version(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(g, float(x), float(rng.integers(0, 5))) for g in "ab" for x in range(n)] + [("a", 99.0, None)]
+    got = {r["g"]: r for r in T.theil_sen(spark.createDataFrame(rows, "g string, x double, y double"), ("g",)).collect()}
+    y = [r[2] for r in rows if r[0] == "b"]
+    slopes = sorted((y[j] - y[i]) / (j - i) for i in range(n) for j in range(i + 1, n))
+    ties = sum(y.count(v) * (y.count(v) - 1) * (2 * y.count(v) + 5) for v in set(y))
+    sd = ((n * (n - 1) * (2 * n + 5) - ties) / 18) ** 0.5
+    half_up = lambda v: int(np.floor(v + 0.5))
+    low, high = max(half_up((len(slopes) - T.Z95 * sd) / 2) - 1, 0), min(half_up((len(slopes) + T.Z95 * sd) / 2), len(slopes) - 1)
+    assert got["b"]["slope"] == pytest.approx(np.median(slopes))
+    assert got["b"]["intercept"] == pytest.approx(np.median(y) - np.median(slopes) * np.median(range(n)))
+    assert (got["b"]["low95"], got["b"]["high95"]) == pytest.approx((slopes[low], slopes[high]))
+    own = [r[2] for r in rows if r[0] == "a" and r[2] is not None]
+    assert got["a"]["slope"] == pytest.approx(np.median([(own[j] - own[i]) / (j - i) for i in range(n) for j in range(i + 1, n)]))
