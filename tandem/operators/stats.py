@@ -101,39 +101,38 @@ def wilcoxon(deltas: DataFrame, by: tuple[str, ...] = (), value: str = "delta")
     return z.withColumn("p_greater", normal_upper_tail("z")).withColumn("p_two_sided", clip(2 * normal_upper_tail(F.abs("z")), None, 1.0))
 
 
-def bootstrap_mean(deltas: DataFrame, n_boot: int, seed: int, order: str, value: str = "delta") -> DataFrame:
-    """(low, high): 2.5 and 97.5 percentiles of means of resamples, drawn by numpy's generator in the order given.
+def bootstrap_mean(deltas: DataFrame, n_boot: int, seed: int, order: str, value: str = "delta", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, low, high): 2.5 and 97.5 percentiles of means of resamples, drawn by numpy's generator in the order given.
 
-    The sample is one row per matched pair and is resampled as a whole, in one task.
+    The sample is one number per matched pair and is resampled as a whole, each group in one task.
     """
+    names = [*by, "low", "high"]
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
+    def one(key, group: pd.DataFrame) -> pd.DataFrame:
         x = group.sort_values(order)[value].to_numpy(float)
         rng = np.random.default_rng(seed)
         index = np.arange(len(x))
         means = [np.mean(x[rng.choice(index, size=len(x), replace=True)]) for _ in range(n_boot)]
-        low, high = np.percentile(means, [2.5, 97.5])
-        return pd.DataFrame({"low": [low], "high": [high]})
+        return pd.DataFrame([(*key, *np.percentile(means, [2.5, 97.5]))], columns=names)
 
-    return deltas.select(order, value).groupBy().applyInPandas(one, "low double, high double")
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in deltas.select(*by).schema.fields)
+    return deltas.select(*by, order, value).groupBy(*by).applyInPandas(one, kinds + "low double, high double")
 
 
-def paired_summary(deltas: DataFrame, n_boot: int, seed: int, order: str = "locked_uid") -> DataFrame:
-    """n_pairs, mean and median difference, bootstrap interval and Wilcoxon p; NULLs where there are no pairs."""
-    base = deltas.agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("delta").alias("mean_delta"), F.median("delta").alias("median_delta"))
-    one = F.lit(1).alias("_k")
-    boot = bootstrap_mean(deltas, n_boot, seed, order).select(one, F.col("low").alias("boot95_mean_lo"), F.col("high").alias("boot95_mean_hi"))
-    test = wilcoxon(deltas).select(one, F.col("p_greater").alias("wilcoxon_p_greater"), F.col("p_two_sided").alias("wilcoxon_p_two_sided"))
-    return base.withColumn("_k", F.lit(1)).join(boot, "_k", "left").join(test, "_k", "left").drop("_k")
+def paired_summary(deltas: DataFrame, n_boot: int, seed: int, order: str = "locked_uid", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by) n_pairs, mean and median difference, bootstrap interval and Wilcoxon p; without by, NULLs where there are no pairs."""
+    at = list(by) or ["_k"]
+    keyed = lambda df: df if by else df.withColumn("_k", F.lit(1))
+    base = keyed(deltas.groupBy(*by).agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("delta").alias("mean_delta"), F.median("delta").alias("median_delta")))
+    boot = keyed(bootstrap_mean(deltas, n_boot, seed, order, by=by)).withColumnsRenamed({"low": "boot95_mean_lo", "high": "boot95_mean_hi"})
+    test = keyed(wilcoxon(deltas, by)).select(*at, F.col("p_greater").alias("wilcoxon_p_greater"), F.col("p_two_sided").alias("wilcoxon_p_two_sided"))
+    return base.join(boot, at, "left").join(test, at, "left").drop("_k")
 
 
 def stratified_summary(deltas: DataFrame, n_boot: int, seed: int, least: int = 30, bins: tuple[str, ...] = ("2", "3-4", "5+")) -> DataFrame:
-    """paired_summary for each duration bin with enough pairs."""
-    out = None
-    for b in bins:
-        part = paired_summary(deltas.where(F.col("dur_bin") == b), n_boot, seed).where(F.col("n_pairs") >= least).withColumn("dur_bin", F.lit(b))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """paired_summary for each duration bin with enough pairs; the bins are summed up and resampled side by side."""
+    enough = deltas.where(F.col("dur_bin").isin(*bins)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("dur_bin"))).where(F.col("_n") >= least).drop("_n")
+    return paired_summary(enough, n_boot, seed, by=("dur_bin",))
 
 
 def sample_rows(df: DataFrame, n: int, seed: int, *keys: str, where: Column | None = None) -> DataFrame:

@@ -217,8 +217,9 @@ def matched_controls(spark, sf_dir):
 
 
 def matched_deltas(spark, sf_dir):
+    """A row per matched pair, kept for the summaries, which read it several times."""
     marked = _marked(spark, sf_dir, "sweep")
-    return R.matched_deltas(marked, R.matched_controls(marked))
+    return kept(spark, sf_dir, "deltas", R.matched_deltas(marked, R.matched_controls(marked)))
 
 
 def matched_deltas_rounded(spark, sf_dir):
